@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselith.llm import grouping, proportions, related_splits, tokenizer
+from tesselith.llm import grouping, mixing, proportions, related_splits, tokenizer
 
-MODULES = (proportions, grouping, related_splits, tokenizer)
+MODULES = (proportions, grouping, related_splits, tokenizer, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselith.llm import grouping, mixing, neardup, proportions, related_splits, tokenizer
+from tesselith.llm import grouping, mixing, neardup, proportions, related_splits, split_overlap, tokenizer
 
-MODULES = (proportions, grouping, related_splits, tokenizer, mixing, neardup)
+MODULES = (proportions, grouping, related_splits, tokenizer, mixing, neardup, split_overlap)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,7 +46,7 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 def prefix(sketch, g: np.ndarray, doc: np.ndarray, n_docs: int, t: float, hits: int):
     """Prefix phrases that some other text may hold: (phrase, text, place), and the group half of each text's key (0: none)."""
     level = ph.commonness(sketch, g)
-    order = np.lexsort((g, level, doc))
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (level.astype(np.uint64) << np.uint64(40)) | (g >> np.uint64(8)), kind="stable")
     g, doc, level = g[order], doc[order], level[order]
     n = np.bincount(doc, minlength=n_docs)
     place = np.arange(len(g)) - np.searchsorted(doc, np.arange(n_docs))[doc]
@@ -152,7 +152,7 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
             token = np.concatenate([h[0] for h in held])
             local, place = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             keys, sizes = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            bucket = (token >> np.uint64(40)) % np.uint64(parts)
+            bucket = (ph.mix(token) >> np.uint64(32)) % np.uint64(parts)
             data, names = [], []
             for b in np.unique(bucket):
                 s = bucket == b

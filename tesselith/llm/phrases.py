@@ -1,4 +1,4 @@
-"""Phrases (runs of five words) of whole texts as 64-bit numbers, and how common they are.
+"""Phrases (runs of five words) of whole texts as 48-bit numbers, and how common they are.
 
 The words of a text are the maximal runs of a-z and 0-9 after lower-casing. A batch of texts is hashed at once:
 polynomial prefix sums give every word a number, five successive numbers give a phrase. A counting sketch with a
@@ -23,8 +23,10 @@ MIN_WORDS = 30
 #: Cells of the sketch (one byte each once it is merged), and rows in which they travel.
 SKETCH_CELLS, SKETCH_SLICES = 1 << 24, 64
 
-#: Characters hashed at once.
-CHUNK_CHARS = 1 << 20
+#: Characters and texts hashed at once; the number of a text in its chunk and a phrase fit in 64 bits.
+CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 60_000
+_BITS = np.uint64(48)
+_MASK = np.uint64((1 << 48) - 1)
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -75,7 +77,7 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t or "")
-        if size and size + n > CHUNK_CHARS:
+        if (size and size + n > CHUNK_CHARS) or i - at >= CHUNK_TEXTS:
             yield at, i
             at, size = i, 0
         size += n
@@ -96,16 +98,22 @@ def phrases(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         g = g * k + w[i : m + i]
     first = doc[:m]
     ok = (first == doc[WORDS - 1 :]) & (n_words[first] >= MIN_WORDS)
-    return mix(g[ok]), first[ok], n_words
+    return mix(g[ok]) >> np.uint64(16), first[ok], n_words
 
 
 def distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases without repeats within a text, sorted by text and number."""
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    keep = np.ones(len(g), bool)
-    keep[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    return g[keep], doc[keep]
+    both = np.sort((doc.astype(np.uint64) << _BITS) | g)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return both & _MASK, (both >> _BITS).astype(np.int64)
+
+
+def firsts(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of the first occurrence of every phrase in its text, in order."""
+    both = (doc.astype(np.uint64) << _BITS) | g
+    order = np.argsort(both, kind="stable")
+    run = both[order]
+    return np.sort(order[np.concatenate([[True], run[1:] != run[:-1]])]) if len(both) else order
 
 
 def per_text(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

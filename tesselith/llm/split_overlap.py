@@ -1,10 +1,10 @@
 """Problem 2: provisions of evaluation documents that recur in training documents.
 
-Winnowing fingerprints. The phrases of a text are ordered from rare to common; of every window of four
-successive phrases the rarest is a fingerprint. Training texts give all their fingerprints, evaluation texts
+Winnowing fingerprints. The phrases of a text, each at its first place, are ordered from rare to common; of every
+window of two successive phrases the rarer is a fingerprint. Training texts give all their fingerprints, evaluation texts
 those of their disjoint windows. At least 80 % of an evaluation text's phrases must be found, so at most
 B = floor(n / 5) are missing, each spoils one disjoint window, and among any B + k windows k are whole: only the
-B + k rarest are looked up, and k of them must meet. Candidates are then aligned: seeds are chained
+B + k rarest are looked up, and k of them must meet in a training text that is long enough. Candidates are then aligned: seeds are chained
 collinearly, the chain is extended phrase by phrase, and the whole sets decide.
 """
 
@@ -26,10 +26,10 @@ from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
 CONTAINED = 0.8
-WINDOW = 4
+WINDOW = 2
 
 #: Looked-up fingerprints that must meet, where the evaluation text is long enough to ask for so many.
-MEETINGS = 4
+MEETINGS = 6
 
 #: Entries of one bucket of the exchange, texts of one packed block.
 BUCKET, BLOCK = 1_000_000, 60_000
@@ -38,7 +38,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def _rank_keys(sketch, g: np.ndarray) -> np.ndarray:
-    return (ph.commonness(sketch, g).astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
+    return (ph.commonness(sketch, g).astype(np.uint64) << np.uint64(56)) | (g << np.uint64(8))
 
 
 def fingerprints(keys: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -50,83 +50,106 @@ def fingerprints(keys: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.
     return np.unique(at[doc[: len(view)] == doc[window - 1 :]])
 
 
-def probes(keys: np.ndarray, doc: np.ndarray, sizes: np.ndarray, n_docs: int, contained: float = CONTAINED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(places to look up, meetings asked of each text).
-
-    Texts that repeat a phrase are looked up at all their fingerprints and asked for one meeting.
-    """
+def probes(keys: np.ndarray, doc: np.ndarray, n_docs: int, contained: float = CONTAINED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(places to look up, meetings asked of each text); every phrase of a text stands once in ``keys``."""
     count = np.bincount(doc, minlength=n_docs)
     first = np.searchsorted(doc, np.arange(n_docs))
-    windows = count // window
-    missing = np.floor((1 - contained) * sizes + 1e-9).astype(np.int64)
-    plain_text = (count == sizes) & (windows > missing)
-    asked = np.where(plain_text, np.clip(windows - missing, 1, MEETINGS), 1)
-    # Disjoint windows of texts without repeats.
-    owner = np.repeat(np.arange(n_docs), np.where(plain_text, windows, 0))
+    windows = -(-count // window)  # the last one may be shorter
+    missing = np.floor((1 - contained) * count + 1e-9).astype(np.int64)
+    asked = np.clip(windows - missing, 1, MEETINGS)
+    owner = np.repeat(np.arange(n_docs), windows)
+    if not len(owner):
+        return np.empty(0, np.int64), asked
     nth = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n_docs))[owner]
     base = first[owner] + nth * window
-    best = base + keys[base[:, None] + np.arange(window)].argmin(axis=1) if len(base) else base
-    order = np.lexsort((keys[best], owner)) if len(base) else base
-    best, owner = best[order], owner[order]
-    nth = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n_docs))[owner]
-    chosen = best[nth < (missing + asked)[owner]]
-    repeated = ~plain_text[doc]
-    if repeated.any():
-        every = fingerprints(keys, doc, window)
-        short = np.nonzero(repeated & (count[doc] < window))[0]
-        chosen = np.concatenate([chosen, every[repeated[every]], short])
-    return chosen, asked
+    last = (first + count - 1)[owner]
+    places = np.minimum(base[:, None] + np.arange(window), last[:, None])
+    best = places[np.arange(len(base)), keys[places].argmin(axis=1)]
+    best = best[np.lexsort((keys[best], owner))]
+    return best[nth < (missing + asked)[owner]], asked
 
 
-def _pack(token: np.ndarray, local: np.ndarray, codes: np.ndarray, asked: np.ndarray) -> bytes:
+def _pack(token: np.ndarray, local: np.ndarray, codes: np.ndarray, asked: np.ndarray, sizes: np.ndarray) -> bytes:
     used, local = np.unique(local, return_inverse=True)
     order = np.argsort(token, kind="stable")
     step = np.diff(token[order], prepend=np.uint32(0)).astype(np.uint32)
-    body = [step.view(np.uint8).reshape(-1, 4).T.tobytes(), local[order].astype(np.uint16).tobytes(), codes[used].tobytes(), asked[used].astype(np.uint8).tobytes()]
+    body = [step.view(np.uint8).reshape(-1, 4).T.tobytes(), local[order].astype(np.uint16).tobytes(), codes[used].astype(np.uint32).tobytes(), sizes[used].astype(np.uint32).tobytes(), asked[used].astype(np.uint8).tobytes()]
     return np.array([len(token), len(used)], np.int64).tobytes() + zlib.compress(b"".join(body), 1)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     m, u = (int(x) for x in np.frombuffer(data[:16], np.int64))
     raw = zlib.decompress(data[16:])
     step = np.frombuffer(raw, np.uint8, 4 * m).reshape(4, -1).T.copy().view(np.uint32).ravel()
     local = np.frombuffer(raw, np.uint16, m, 4 * m)
-    codes = np.frombuffer(raw, np.uint64, u, 6 * m)
+    codes, sizes = np.frombuffer(raw[6 * m : 6 * m + 8 * u], np.uint32).reshape(2, -1)
     asked = np.frombuffer(raw, np.uint8, u, 6 * m + 8 * u)
-    return np.cumsum(step, dtype=np.uint32), codes[local], asked[local]
-
-
-def _meet(token: np.ndarray, code: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(evaluation code, training code, meetings asked) for every fingerprint that both have, in pieces."""
-    order = np.lexsort((code, asked > 0, token))
-    token, code, asked = token[order], code[order], asked[order]
-    side = asked > 0
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (code[1:] != code[:-1]) | (side[1:] != side[:-1])
-    token, code, asked, side = token[keep], code[keep], asked[keep], side[keep]
-    t_token, t_code = token[~side], code[~side]
-    q_token, q_code, q_asked = token[side], code[side], asked[side]
+    return np.cumsum(step, dtype=np.uint32), codes[local], asked[local], sizes[local].astype(np.int64)
+
+
+def _count(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if n is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _meet(token: np.ndarray, code: np.ndarray, asked: np.ndarray, size: np.ndarray, contained: float) -> tuple[np.ndarray, np.ndarray]:
+    """(evaluation code << 32 | training code, fingerprints that both have) where the training text is long enough."""
+    half = np.uint64(32)
+    both = (token.astype(np.uint64) << half) | code
+
+    def side(of: np.ndarray, widest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (token, code), and the size of each code (of sets with one code the one that excludes least)."""
+        known = np.unique((code[of].astype(np.uint64) << half) | size[of].astype(np.uint64))
+        c = known >> half
+        at = np.nonzero(np.concatenate([c[1:] != c[:-1], [True]] if widest else [[True], c[1:] != c[:-1]]))[0] if len(c) else np.empty(0, np.int64)
+        rows = np.unique(both[of])
+        mine = rows & _LOW
+        return rows >> half, mine, (known[at] & _LOW).astype(np.int64)[np.searchsorted(c[at], mine)] if len(at) else np.empty(0, np.int64)
+
+    t_token, t_code, t_size = side(asked == 0, True)
+    q_token, q_code, q_size = side(asked > 0, False)
     lo, hi = np.searchsorted(t_token, q_token, "left"), np.searchsorted(t_token, q_token, "right")
     count = hi - lo
-    for at in range(0, len(q_token), 100_000):
-        c = count[at : at + 100_000]
+    ends = np.cumsum(count)
+    held, n_held, done, at = [], 0, [], 0
+    while at < len(q_token):  # in pieces of a bounded number of meetings
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        c = count[at:to]
         q = np.repeat(np.arange(at, at + len(c)), c)
         r = np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + lo[q]
-        yield q_code[q], t_code[r], q_asked[q]
-
-
-def _sum(q: np.ndarray, t: np.ndarray, asked: np.ndarray, n: np.ndarray):
-    order = np.lexsort((t, q))
-    q, t, asked, n = q[order], t[order], asked[order], n[order]
-    if not len(q):
-        return q, t, asked, n
-    new = np.ones(len(q), bool)
-    new[1:] = (q[1:] != q[:-1]) | (t[1:] != t[:-1])
-    at = np.nonzero(new)[0]
-    return q[at], t[at], np.minimum.reduceat(asked, at), np.add.reduceat(n, at)
-
-
-def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ok = t_size[r] >= contained * q_size[q] - 1e-9
+        held.append((q_code[q[ok]] << half) | t_code[r[ok]])
+        n_held += len(held[-1])
+        if n_held > 4_000_000:
+            done.append(_count(np.concatenate(held)))
+            held, n_held = [], 0
+        at = to
+    if held:
+        done.append(_count(np.concatenate(held)))
+    if not done:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return _count(*(np.concatenate(x) for x in zip(*done))) if len(done) > 1 else done[0]
+
+
+def _pack_pairs(keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> bytes:
+    """Sorted pairs as differences by byte planes; ``asked`` stands for each evaluation text."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    body = [step.view(np.uint8).reshape(-1, 8).T.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), asked.astype(np.uint8).tobytes()]
+    return np.array([len(keys)], np.int64).tobytes() + zlib.compress(b"".join(body), 1)
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(data[:8], np.int64)[0])
+    raw = zlib.decompress(data[8:])
+    step = np.frombuffer(raw, np.uint8, 8 * m).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(step, dtype=np.uint64), np.frombuffer(raw, np.uint8, m, 8 * m).astype(np.int64), np.frombuffer(raw, np.uint8, m, 9 * m)
+
+
+def candidates(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame, DataFrame]:
     """``texts``: key, text, asks (in an evaluation split). (texts with phrases: key, asks, c1, c2, code; candidates: code_a, code_b)."""
     spark = texts.sparkSession
     sketch, total = ph.survey(texts, "text")
@@ -140,10 +163,10 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         count, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
-            token, local, codes, asked = (np.concatenate([h[i] for h in held]) for i in range(4))
-            bucket = (token >> np.uint64(40)) % np.uint64(parts)
+            token, local, codes, asked, sizes = (np.concatenate([h[i] for h in held]) for i in range(5))
+            bucket = (ph.mix(token) >> np.uint64(32)) % np.uint64(parts)
             names = [int(b) for b in np.unique(bucket)]
-            data = [_pack((token[s] & _LOW).astype(np.uint32), local[s], codes, asked) for s in (bucket == np.uint64(b) for b in names)]
+            data = [_pack((token[s] & _LOW).astype(np.uint32), local[s], codes, asked, sizes) for s in (bucket == np.uint64(b) for b in names)]
             none = [pa.nulls(len(data), k) for k in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], columns)
 
@@ -154,14 +177,16 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 m = hi - lo
                 g, doc, _ = ph.phrases(all_texts[lo:hi])
                 c1, c2, size = ph.identity(*ph.distinct(g, doc), m)
-                code = (c2 << np.uint64(32)) | (c1 & _LOW)
+                code = c1 & _LOW  # equal codes of different sets only add candidates
                 some = np.nonzero(size)[0]
                 if not len(some):
                     continue
+                at = ph.firsts(g, doc)
+                g, doc = g[at], doc[at]
                 keys, asks = _rank_keys(sketch, g), all_asks[lo:hi]
                 trains, evals = ~asks[doc], asks[doc]
                 t_at = np.nonzero(trains)[0][fingerprints(keys[trains], doc[trains])]
-                q_at, asked = probes(keys[evals], doc[evals], np.where(asks, size, 0), m)
+                q_at, asked = probes(keys[evals], doc[evals], m, contained)
                 q_at = np.nonzero(evals)[0][q_at]
                 at = np.concatenate([t_at, q_at])
                 at = at[keys[at] >> np.uint64(56) > 0]  # a phrase of one text alone meets nothing
@@ -169,7 +194,7 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(some)) % parts + parts, pa.int32()), pa.nulls(len(some), pa.binary()), ids, pa.array(asks[some]), pa.array(c1[some].view(np.int64)),
                      pa.array(c2[some].view(np.int64)), pa.array(code[some].view(np.int64))], columns)
-                held.append((g[at], doc[at] + count, code, np.where(asks, asked, 0)))
+                held.append((g[at], doc[at] + count, code, np.where(asks, asked, 0), size))
                 count += m
                 if count > BLOCK - 10_000:
                     yield flush()
@@ -180,28 +205,31 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def meet(key_: tuple, rows: pa.Table) -> pa.Table:
         if key_[0].as_py() >= parts:
             return rows
-        token, code, asked = (np.concatenate(x) for x in zip(*[_unpack(d.as_py()) for d in rows.column("data")]))
-        got = [_sum(q, t, a.astype(np.int64), np.ones(len(q), np.int64)) for q, t, a in _meet(token, code, asked)]
-        if not got:
-            return rows.slice(0, 0)
-        q, t, a, n = _sum(*(np.concatenate(x) for x in zip(*got)))
+        token, code, asked, size = (np.concatenate(x) for x in zip(*[_unpack(d.as_py()) for d in rows.column("data")]))
+        keys, n = _meet(token, code, asked, size, contained)
+        # The least meetings asked by a text of each code.
+        ask_code, ask = code[asked > 0], asked[asked > 0]
+        order = np.lexsort((ask, ask_code))
+        ask_code, first = np.unique(ask_code[order], return_index=True)
+        ask = ask[order][first]
+        q = keys >> np.uint64(32)
+        need = ask[np.searchsorted(ask_code, q.astype(np.uint32))] if len(q) else np.empty(0, np.uint8)
         to = ph.mix(q) % np.uint64(parts)
         names = [int(b) for b in np.unique(to)]
-        data = [np.array([s.sum()], np.int64).tobytes() + q[s].tobytes() + t[s].tobytes() + a[s].astype(np.uint8).tobytes() + np.minimum(n[s], 255).astype(np.uint8).tobytes() for s in (to == np.uint64(b) for b in names)]
+        data = [_pack_pairs(keys[s], n[s], need[s]) for s in (to == np.uint64(b) for b in names)]
         none = [pa.nulls(len(data), rows.schema.field(i).type) for i in range(2, 7)]
         return pa.Table.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], names=columns)
 
     seen = materialise(texts.select("key", "text", "asks").mapInArrow(build, kinds).groupBy("bucket").applyInArrow(meet, kinds), "fingerprints")
 
     def decide(key_: tuple, rows: pa.Table) -> pa.Table:
-        got = []
-        for d in rows.column("data"):
-            raw = d.as_py()
-            m = int(np.frombuffer(raw[:8], np.int64)[0])
-            got.append((np.frombuffer(raw, np.uint64, m, 8), np.frombuffer(raw, np.uint64, m, 8 + 8 * m), np.frombuffer(raw, np.uint8, m, 8 + 16 * m).astype(np.int64), np.frombuffer(raw, np.uint8, m, 8 + 17 * m).astype(np.int64)))
-        q, t, a, n = _sum(*(np.concatenate(x) for x in zip(*got)))
-        ok = n >= a
-        return pa.table({"code_a": q[ok].view(np.int64), "code_b": t[ok].view(np.int64)})
+        keys, n, asked = (np.concatenate(x) for x in zip(*[_unpack_pairs(d.as_py()) for d in rows.column("data")]))
+        order = np.argsort(keys, kind="stable")
+        keys, n, asked = keys[order], n[order], asked[order]
+        at = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
+        ok = np.add.reduceat(n, at) >= np.minimum.reduceat(asked, at)
+        keys = keys[at][ok]
+        return pa.table({"code_a": (keys >> np.uint64(32)).view(np.int64), "code_b": (keys & _LOW).view(np.int64)})
 
     met = seen.where("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(decide, "code_a bigint, code_b bigint")
     return seen.where("data is null").select("key", "asks", "c1", "c2", "code"), met
@@ -257,7 +285,7 @@ def overlaps(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame,
     tables.
     """
     rows = texts.where("key is not null and asks is not null").select("key", "text", "asks")
-    docs, met = candidates(rows)
+    docs, met = candidates(rows, contained)
     classes = materialise(docs.groupBy("asks", "c1", "c2", "code").agg(F.min("key").alias("rep")), "classes")
     side = lambda asks, s: classes.where(F.col("asks") == asks).select(F.col("code").alias(f"code_{s}"), F.col("rep").alias(f"rep_{s}"))
     todo = materialise(met.join(side(True, "a"), "code_a").join(side(False, "b"), "code_b").select("rep_a", "rep_b"), "candidates")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselith.llm import grouping, mixing, neardup, proportions, related_splits, residue, scan_noise, split_overlap, tokenizer
+from tesselith.llm import grouping, mixing, neardup, proportions, related_splits, residue, scan_noise, split_overlap, subjects, tokenizer
 
-MODULES = (proportions, grouping, related_splits, tokenizer, mixing, neardup, split_overlap, residue, scan_noise)
+MODULES = (proportions, grouping, related_splits, tokenizer, mixing, neardup, split_overlap, residue, scan_noise, subjects)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

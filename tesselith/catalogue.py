@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselith.plans import q_passages, q_structure
+from tesselith.plans import q_passages, q_splits, q_statistics, q_structure
 
-MODULES = (q_passages, q_structure)
+MODULES = (q_passages, q_structure, q_splits, q_statistics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

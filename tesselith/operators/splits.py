@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.operators.passages import by_hash
+from tesselith.operators.ranks import hash_rank
 
 
 def stratified_sample(df: DataFrame, n: int, strata: list[str], key: str, seed: str) -> DataFrame:
     """At most ``n`` rows: a floor of max(1, n // (3 * strata)) from every stratum, the rest in hash order."""
     h = by_hash(seed, key)
     count = df.select(*strata).distinct().agg(F.count("*").alias("k"))
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key)))
+    ranked = hash_rank(df, strata, h, key, "_r").withColumn("_h", h)
     ranked = ranked.crossJoin(F.broadcast(count)).withColumn("_first", F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / (3 * F.col("k")))))
     return ranked.orderBy(F.desc("_first"), "_h", key).limit(n).drop("_h", "_r", "k", "_first")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: str, name: str = "fold") -> DataFrame:
     """Folds that share every label value evenly; rows with a null label are a value of their own."""
-    return df.withColumn(name, ((F.row_number().over(Window.partitionBy(label).orderBy(by_hash(seed, key), key)) - 1) % k).cast("int"))
+    return hash_rank(df, [label], by_hash(seed, key), key, "_r").withColumn(name, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def document_folds(df: DataFrame, group: str, doc: str, k: int, seed: str, name: str = "fold") -> DataFrame:
@@ -39,8 +40,15 @@ def value_document_folds(df: DataFrame, label: str, doc: str, k: int, seed: str,
 
 def even_chunks(df: DataFrame, key: str, k: int, seed: str, *by: str, name: str = "fold") -> DataFrame:
     """Keys in hash order cut into ``k`` chunks of even size."""
-    ids = df.select(*by, key).distinct()
-    return df.join(ids.withColumn(name, (F.ntile(k).over(Window.partitionBy(*by).orderBy(by_hash(seed, key), key)) - 1).cast("int")), [*by, key])
+    ids = df.select(*by, key).distinct().withColumn("_all", F.lit(1))
+    ranked = hash_rank(ids, [*by, "_all"], by_hash(seed, key), key, "_r")
+    sizes = ids.groupBy(*by, "_all").agg(F.count("*").alias("_n"))
+    # The first n % k chunks hold one more, as ntile does.
+    small, extra = F.floor(F.col("_n") / k), F.col("_n") % k
+    cut = extra * (small + 1)
+    chunk = F.when(F.col("_r") <= cut, F.floor((F.col("_r") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("_r") - 1 - cut) / F.greatest(small, F.lit(1))))
+    dealt = ranked.join(F.broadcast(sizes) if not by else sizes, [*by, "_all"]).select(*by, key, chunk.cast("int").alias(name))
+    return df.join(dealt, [*by, key])
 
 
 def regimes(df: DataFrame, held_out: str, group: str, doc: str, key: str, fraction: float, seed: str, least: int = 5) -> DataFrame:
@@ -50,16 +58,15 @@ def regimes(df: DataFrame, held_out: str, group: str, doc: str, key: str, fracti
     are cut, in hash order, to the size of the third.
     """
     mine = F.col(group) == held_out
-    w = Window.partitionBy(group).orderBy(by_hash(seed, key), key)
-    size = F.count("*").over(Window.partitionBy(group))
-    rows = df.withColumn("test", mine & (F.row_number().over(w) <= F.greatest(F.lit(least), F.round(size * fraction))))
+    size = df.agg(F.count_if(mine).alias("_size"))
+    ranked = hash_rank(df, [group], by_hash(seed, key), key, "_r").crossJoin(F.broadcast(size))  # one row
+    rows = ranked.withColumn("test", mine & (F.col("_r") <= F.greatest(F.lit(least), F.round(F.col("_size") * fraction)))).drop("_r", "_size")
     test_docs = rows.where("test").select(doc).distinct().withColumn("_t", F.lit(True))
     rows = rows.join(test_docs, doc, "left").withColumn("_doc", ~F.col("test") & F.col("_t").isNull()).withColumn("_random", ~F.col("test")).withColumn("train_group", ~mine)
     n = rows.agg(F.count_if("train_group").alias("_n"))
     order = by_hash(seed + "-train", key)
     for name in ("random", "doc"):
-        rank = F.row_number().over(Window.partitionBy(f"_{name}").orderBy(order, key))
-        rows = rows.withColumn(f"_k{name}", rank)
+        rows = hash_rank(rows, [f"_{name}"], order, key, f"_k{name}")
     rows = rows.crossJoin(F.broadcast(n))
     return rows.select(*df.columns, "test", *[(F.col(f"_{x}") & (F.col(f"_k{x}") <= F.col("_n"))).alias(f"train_{x}") for x in ("random", "doc")], "train_group")
 
@@ -73,7 +80,7 @@ def dose_draw(df: DataFrame, value: str, doc: str, key: str, m: int, target: int
     docs = df.groupBy(value, doc).agg(F.count("*").alias("_n")).where(F.col("_n") >= need)
     docs = docs.withColumn("_r", F.row_number().over(Window.partitionBy(value).orderBy(by_hash(seed, value, doc), doc))).where(F.col("_r") <= m)
     rows = df.join(docs.select(value, doc), [value, doc])
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(value, doc).orderBy(by_hash(seed, key), key))).where(F.col("_k") <= need)
+    rows = hash_rank(rows, [value, doc], by_hash(seed, key), key, "_k").where(F.col("_k") <= need)
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(value).orderBy("_k", by_hash(seed, key), key))).where(F.col("_k") <= target)
     whole = rows.groupBy(value).agg(F.count("*").alias("_n"), F.count_distinct(doc).alias("_d")).where((F.col("_n") == target) & (F.col("_d") == m)).select(value)
     return rows.drop("_k").join(whole, value, "left_semi")
@@ -83,22 +90,24 @@ def pool_draw(df: DataFrame, value: str, doc: str, key: str, k: int, total: int,
     """``k`` documents per value in hash order, then at most ``total`` of their rows."""
     docs = df.select(value, doc).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(value).orderBy(by_hash(seed, value, doc), doc))).where(F.col("_r") <= k)
     rows = df.join(docs.select(value, doc), [value, doc])
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(value).orderBy(by_hash(seed, key), key))).where(F.col("_r") <= total).drop("_r")
+    return hash_rank(rows, [value], by_hash(seed, key), key, "_r").where(F.col("_r") <= total).drop("_r")
 
 
 def equal_draws(df: DataFrame, by: list[str], key: str, n: int, reps: int, seed: str) -> DataFrame:
     """``reps`` subsamples without replacement of ``n`` rows of every cell; rows with ``rep``."""
     r = df.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))
     rows = df.crossJoin(F.broadcast(r))  # reps is a parameter
-    w = Window.partitionBy("rep", *by).orderBy(by_hash(seed, "rep", key), key)
-    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return hash_rank(rows, ["rep", *by], by_hash(seed, "rep", key), key, "_k").where(F.col("_k") <= n).drop("_k")
 
 
 def review_queue(df: DataFrame, key: str, suggestion: Column, shown: float, repeats: int, gap: int, seed: str) -> DataFrame:
     """(i, key, suggested, repeat_of): every row once in hash order, its suggestion shown with the given share, and blind repeats at least ``gap`` places later."""
     part = F.conv(F.substring(by_hash(seed + "-shown", key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    once = df.select(F.col(key).alias("key"), F.when(part < shown, suggestion).alias("suggested"), by_hash(seed, key).alias("_h"))
-    once = once.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", "key")))
-    again = once.where(F.col("_i") <= repeats).select("key", F.lit(None).cast("string").alias("suggested"), "_h", (F.col("_i") + gap + 0.5).alias("_at"), F.col("key").alias("repeat_of"))
-    both = once.select("key", "suggested", "_h", F.col("_i").cast("double").alias("_at"), F.lit(None).cast("string").alias("repeat_of")).unionByName(again)
-    return both.select((F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_at", "_h", "key")) - 1).alias("i"), "key", "suggested", "repeat_of")
+    once = df.select(F.col(key).alias("key"), F.when(part < shown, suggestion).alias("suggested"), F.lit(1).alias("_all"))
+    ranked = hash_rank(once, ["_all"], by_hash(seed, "key"), "key", "_i")
+    total = once.agg(F.count("*").alias("_n"))
+    before = F.least(F.greatest(F.col("_i") - gap - 1, F.lit(0)), F.lit(repeats))  # repeats shown earlier
+    shown_once = ranked.select((F.col("_i") - 1 + before).alias("i"), "key", "suggested", F.lit(None).cast("string").alias("repeat_of"))
+    again = ranked.where(F.col("_i") <= repeats).crossJoin(F.broadcast(total))  # one row
+    again = again.select((F.least(F.col("_n"), F.col("_i") + gap) + F.col("_i") - 1).alias("i"), "key", F.lit(None).cast("string").alias("suggested"), F.col("key").alias("repeat_of"))
+    return shown_once.unionByName(again)

@@ -10,6 +10,7 @@ sentences assigned to it make up a given share of its words, so passing mentions
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +24,16 @@ from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
 #: Labelled documents that the model is fitted on at most, drawn by a hash; every document is scored.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 4_000
 
-DIM, BUCKETS, GRAMS = 24, 1 << 17, (3, 4, 5)
-ROUNDS, RATE = 40, 0.08
+DIM, BUCKETS, GRAMS = 16, 1 << 15, (3, 4)
+ROUNDS, RATE = 30, 0.1
 
 #: Partitions over which gradients are summed, and least probability and share of words of a subject.
 PARTS, SURE, SHARE = 6, 0.5, 0.16
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), 0xC3]] = True
-_P = 0x100000001B3
 
 
 def cut(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -67,14 +67,8 @@ def word_numbers(start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.nda
 def features(word: bytes) -> np.ndarray:
     """The bucket of the word, then those of its character n-grams. Runs of more than 60 letters are all one word."""
     text = b"<" + word + b">" if len(word) <= 60 else b"<>"
-    parts = [text] + [text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)]
-    out = np.empty(len(parts), np.uint64)
-    for k, p in enumerate(parts):
-        h = 1469598103934665603 + (k == 0)
-        for c in p:
-            h = (h ^ c) * _P & 0xFFFFFFFFFFFFFFFF
-        out[k] = h
-    return (mix(out) % np.uint64(BUCKETS)).astype(np.int64)
+    parts = [text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)]
+    return np.array([zlib.crc32(text, 1), *map(zlib.crc32, parts)], np.int64) % BUCKETS
 
 
 def word_matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +246,7 @@ def train(sample: DataFrame, n_subjects: int, rounds: int = ROUNDS, rate: float
             sums[2] += gb
             weight += part_weight
         adam.step([s / max(weight, 1.0) for s in sums], 1 - 0.9 * r / rounds)
-        now.unpersist()
+        now.destroy()
     held.unpersist()
     return [buckets, *values]
 

@@ -10,9 +10,14 @@ from tesselith.sources.tables import table
 
 
 def passages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """One row for each provision with its group key ``grp`` and the named columns; a row delivered twice counts once."""
+    """One row for each provision with its group key ``grp`` and the named columns; a row delivered twice counts once.
+
+    The exchange by key has a fixed number of partitions: the work on texts that follows is far more than their
+    bytes suggest, so it must not be coalesced into few tasks. Later steps by the key need no other exchange.
+    """
     wanted = list(dict.fromkeys(["provision_id", *columns]))
     rows = table(spark, sf_dir, "corpus").select(*dict.fromkeys([*wanted, "nation"]))
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "provision_id")
     return rows.dropDuplicates(["provision_id"]).select(*wanted, T.group_key(F.col("nation")).alias("grp"))
 
 

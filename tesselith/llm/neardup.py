@@ -33,7 +33,10 @@ THRESHOLD = 0.6
 HITS = 6
 
 #: Entries of one bucket of the matrix, texts of one packed block, and classes of one opened piece of a group.
-BUCKET, BLOCK, PIECE = 1_000_000, 50_000, 4096
+BUCKET, BLOCK, PIECE = 500_000, 50_000, 4096
+
+#: Lookups that are held at once.
+HELD = 2_000_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
@@ -83,8 +86,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(step, dtype=np.uint32), keys[local], sizes[local].astype(np.int64), place.astype(np.int64)
 
 
-def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lookups of every query in one bucket of the matrix: (query key, group) for each phrase that may count.
+def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lookups of every query in one bucket of the matrix: (query key, group, phrases that may count).
 
     Only groups numbered at most as the query's own are looked up, so two texts of different groups meet once.
     """
@@ -99,7 +102,7 @@ def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarr
     new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
     at = np.nonzero(new)[0]
     if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     low, high = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at)
     left = np.maximum.reduceat(size - 1 - place, at)
     members = np.diff(np.append(at, len(token)))
@@ -107,10 +110,13 @@ def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarr
     row_of = np.cumsum(new) - 1
     first = np.searchsorted(m_token, token)  # first matrix row of the phrase; rows up to the query's own qualify
     count = row_of - first + 1
-    out_q, out_g = [], []
-    for lo in range(0, len(token), 200_000):
-        c = count[lo : lo + 200_000]
-        q = np.repeat(np.arange(lo, lo + len(c)), c)
+    ends = np.cumsum(count)
+    held: list[tuple] = []
+    n_held = lo = 0
+    while lo < len(token):
+        to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD, "right")))
+        c = count[lo:to]
+        q = np.repeat(np.arange(lo, to), c)
         r = np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + first[q]
         ok = (r != row_of[q]) | (members[r] > 1)
         q, r = q[ok], r[ok]
@@ -118,9 +124,13 @@ def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarr
         closest = np.clip(nq, low[r], high[r])
         need = _ceil(t / (1 + t) * (nq + low[r]))
         ok = (np.minimum(nq, closest) >= t * np.maximum(nq, closest) - 1e-9) & (hits + np.minimum(nq - 1 - place[q], left[r]) >= need)
-        out_q.append(key[q[ok]])
-        out_g.append(m_group[r[ok]])
-    return np.concatenate(out_q), np.concatenate(out_g)
+        held.append((key[q[ok]], m_group[r[ok]], np.ones(int(ok.sum()), np.int64)))
+        n_held += len(held[-1][0])
+        if n_held > HELD:
+            held = [_count(*(np.concatenate(x) for x in zip(*held)))]
+            n_held = 0
+        lo = to
+    return _count(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _count(q: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +205,7 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
             return rows
         blocks = [_unpack(d.as_py()) for d in rows.column("data")]
         token, code, size, place = (np.concatenate(x) for x in zip(*blocks))
-        q, g, n = _count(*_matrix_hits(token, code, size, place, t, hits))
+        q, g, n = _matrix_hits(token, code, size, place, t, hits)
         to = ph.mix(q) % np.uint64(parts)
         data, names = [], []
         for b in np.unique(to):

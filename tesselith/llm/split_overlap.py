@@ -32,7 +32,7 @@ WINDOW = 2
 MEETINGS = 6
 
 #: Entries of one bucket of the exchange, texts of one packed block.
-BUCKET, BLOCK = 1_000_000, 60_000
+BUCKET, BLOCK = 400_000, 60_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 

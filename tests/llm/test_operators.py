@@ -136,6 +136,15 @@ def test_traces_are_found_and_repaired(spark):
     assert flat == "The court shall keep the record of every hearing and the clerk must mail a copy to the party within twenty- five days"
 
 
+def test_join_and_broadcast_agree(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "FREQUENT", 4)
+    rows = [(f"c{i}", CLEAN.replace("copy", f"copy number {i}"), "Title 4 Civil Actions > Chapter 2 Service", "Civil Code", "Orrisk Nation") for i in range(12)]
+    rows += [("t", "The c0urt shall keep the re-\ncord of tbe\nOrrisk Civil Code\nhear-\n\n 12 \ning and twenty-\nfive days", "Title 4 Civi1 Actions", "Civil Code", "Orrisk Nation")] * 2 + [("n", None, None, None, None)]
+    df = spark.createDataFrame(rows, "provision_id string, text string, heading_path string, doc_title string, nation string")
+    one, two = (sorted(map(tuple, scan_noise.read(df, most).collect())) for most in (10**6, 0))
+    assert one == two and len(one) == 2 and len(one[0][1]) == 5
+
+
 def test_clean_text_has_no_trace(spark):
     assert noisy(spark, CLEAN.replace("record of", "record\nof") + ". See also the Civil Code,\npart 2, section 12.") == {}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselith.operators import measures as M
 from tesselith.operators.passages import by_hash
+from tesselith.plans.sizing import small
 
 
 def sign_flip_exact(diffs: DataFrame, key: str, diff: str) -> DataFrame:
@@ -41,7 +42,7 @@ def draws(clusters: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
     r = ids.sparkSession.range(reps).select(F.col("id").alias("rep"))
     slots = r.crossJoin(F.broadcast(ranked.select(F.col("j").alias("slot")))).crossJoin(F.broadcast(n))
     pick = F.conv(F.substring(by_hash(seed, "rep", "slot"), 1, 12), 16, 10).cast("bigint") % F.col("n")
-    return slots.select("rep", pick.alias("j")).groupBy("rep", "j").agg(F.count("*").alias("m")).join(F.broadcast(ranked), "j").select("rep", key, "m")
+    return slots.select("rep", pick.alias("j")).groupBy("rep", "j").agg(F.count("*").alias("m")).join(small(ranked), "j").select("rep", key, "m")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, truth: str, pred: str, reps: int, seed: str) -> DataFrame:
@@ -51,6 +52,25 @@ def cluster_bootstrap(df: DataFrame, cluster: str, truth: str, pred: str, reps:
     return M.macro_f1(weighted, "rep")
 
 
+def paired_bootstrap(df: DataFrame, cluster: str, truth: str, one: str, two: str, reps: int, seed: str) -> DataFrame:
+    """(rep, f1_one, f1_two): both predictions scored on the same drawn clusters; rows that lack a value are left out of both."""
+    rows = df.where(F.col(truth).isNotNull() & F.col(one).isNotNull() & F.col(two).isNotNull())
+    a = cluster_bootstrap(rows, cluster, truth, one, reps, seed).select("rep", F.col("macro_f1").alias("f1_one"))
+    b = cluster_bootstrap(rows, cluster, truth, two, reps, seed).select("rep", F.col("macro_f1").alias("f1_two"))
+    return a.join(b, "rep")
+
+
+def block_contrast(df: DataFrame, block: str, truth: str, one: str, two: str) -> DataFrame:
+    """(n_blocks, better, worse, mean, p): accuracy of the first prediction less the second by block, and a two-sided sign test."""
+    hit = lambda c: F.avg((F.col(c) == F.col(truth)).cast("int"))
+    rows = df.where(F.col(truth).isNotNull() & F.col(one).isNotNull() & F.col(two).isNotNull())
+    d = rows.groupBy(block).agg((hit(one) - hit(two)).alias("d"))
+    c = d.agg(F.count("*").alias("n_blocks"), F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.avg("d").alias("mean"))
+    n, k = F.col("better") + F.col("worse"), F.least("better", "worse")
+    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(_log_choose(n, i) - n * F.log(F.lit(2.0))))
+    return c.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+
 def interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     """(low, mid, high) quantiles with linear interpolation."""
     a = (1 - level) / 2

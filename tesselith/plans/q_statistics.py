@@ -11,6 +11,7 @@ from tesselith.operators import measures as M
 from tesselith.operators import passages as O
 from tesselith.operators import resample as R
 from tesselith.plans import sqltext as S
+from tesselith.plans.sizing import small
 
 Q, SQL = {}, {}
 
@@ -99,7 +100,7 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 SELECT out AS left_out, round(corr(a, b), 8) AS rho FROM r GROUP BY 1""")
 def leave_one_out_rho(spark: SparkSession, d: str) -> DataFrame:
     k = _cells(spark, d).where("diff is not null")
-    rows = k.join(F.broadcast(k.select(F.col("grp").alias("left_out"))), F.col("grp") != F.col("left_out"))  # one row a group
+    rows = k.join(small(k.select(F.col("grp").alias("left_out"))), F.col("grp") != F.col("left_out"))  # one row a group
     r = rows.select("left_out", M.average_rank("diff", "left_out").alias("a"), M.average_rank("docs", "left_out").alias("b"))
     return r.groupBy("left_out").agg(F.round(F.corr("a", "b"), 8).alias("rho"))
 
@@ -187,3 +188,28 @@ def chance_baselines(spark: SparkSession, d: str) -> DataFrame:
     return t.agg(F.round(share, 8).alias("majority"), F.round(2 * share / (1 + share) / F.count("*"), 8).alias("degenerate_f1"), F.round(F.avg("m"), 8).alias("mean_docs"), F.min("m").alias("min_docs"))
 
 
+
+
+def _paired_sql(pred: str, tag: str) -> str:
+    """The bootstrap's tables for one prediction; both predictions share rows, clusters and draws."""
+    return f"""c{tag} AS (SELECT grp, gold t, {pred} p, count(*) n FROM r GROUP BY 1, 2, 3), w{tag} AS (SELECT rep, t, p, sum(n * m) n FROM m JOIN k USING (j) JOIN c{tag} USING (grp) GROUP BY 1, 2, 3),
+e{tag} AS (SELECT rep, v, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT rep, t v, CASE WHEN t = p THEN n ELSE 0 END tp, 0 fp, CASE WHEN t <> p THEN n ELSE 0 END fn FROM w{tag} UNION ALL SELECT rep, p, 0, CASE WHEN t <> p THEN n ELSE 0 END, 0 FROM w{tag}) GROUP BY 1, 2),
+f{tag} AS (SELECT rep, avg(2.0 * tp / (2 * tp + fp + fn)) f FROM e{tag} GROUP BY 1)"""
+
+
+@query(f"""WITH {S.PASSAGES}, r AS (SELECT grp, gold, rule_label, nli_label FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL), k AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 j FROM (SELECT DISTINCT grp FROM r)), z AS (SELECT count(*) z FROM k),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b2', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(200)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2), {_paired_sql('rule_label', 'a')}, {_paired_sql('nli_label', 'b')}
+SELECT round(quantile_cont(fa.f / fb.f, 0.025), 6) AS low, round(quantile_cont(fa.f / fb.f, 0.5), 6) AS mid, round(quantile_cont(fa.f / fb.f, 0.975), 6) AS high, round(avg((fa.f > fb.f)::INT), 6) AS share_better FROM fa JOIN fb USING (rep)""")
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio of the rules' macro-F1 to the model's under the same cluster draws."""
+    b = R.paired_bootstrap(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label", 200, "b2")
+    b = b.withColumn("ratio", F.col("f1_one") / F.col("f1_two"))
+    q = R.interval(b, "ratio").select(*[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
+    return q.crossJoin(F.broadcast(b.agg(F.round(F.avg((F.col("f1_one") > F.col("f1_two")).cast("int")), 6).alias("share_better"))))  # one row each
+
+
+@query(f"""WITH {S.PASSAGES}, g AS (SELECT grp, avg((rule_label = gold)::INT) - avg((nli_label = gold)::INT) d FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL GROUP BY 1), c AS (SELECT count(*) n_blocks, count_if(d > 0)::BIGINT better, count_if(d < 0)::BIGINT worse, avg(d) mean FROM g),
+x AS (SELECT *, unnest(range(0, least(better, worse) + 1)) i FROM c) SELECT n_blocks, better, worse, round(mean, 8) AS mean, round(least(1.0, 2 * sum(exp(lgamma(better+worse+1) - lgamma(i+1) - lgamma(better+worse-i+1) - (better+worse) * ln(2.0)))), 6) AS p FROM x GROUP BY ALL""")
+def block_contrast(spark: SparkSession, d: str) -> DataFrame:
+    c = R.block_contrast(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label")
+    return c.select("n_blocks", "better", "worse", F.round("mean", 8).alias("mean"), F.round("p", 6).alias("p"))

@@ -171,3 +171,27 @@ def frontier_walk(spark: SparkSession, d: str) -> DataFrame:
     return related.walk(links, seeds, 3).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
+
+
+@query(f"""WITH a AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\n(Sec\\. [0-9])', chr(1) || '\\1', 'g'), chr(1)) t FROM documents), s AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS k, unnest(t) AS part FROM a)
+SELECT doc_id, k::BIGINT AS k, ({S.n_words('part')})::BIGINT AS words FROM s WHERE k > 0 AND {S.n_words('part')} BETWEEN 25 AND 400""")
+def section_split(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of 25 to 400 words, split before their openers; what stands before the first opener is left out."""
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(T.blank(F.col("text")), r"\n(?=Sec\. [0-9])")).alias("k", "part"))
+    words = T.n_words(F.col("part"))
+    return parts.where((F.col("k") > 0) & words.between(25, 400)).select("doc_id", F.col("k").cast("bigint").alias("k"), words.cast("bigint").alias("words"))
+
+
+_NAMES = "n AS (SELECT DISTINCT grp FROM p)"
+
+
+@query(f"""WITH {S.PASSAGES}, {_NAMES}, h AS (SELECT p.provision_id, n.grp AS name, len(regexp_extract_all(lower(coalesce(p.doc_title, '') || ' ' || coalesce(p.source_url, '')), string_split(n.grp, ' ')[1])) AS hits FROM p, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY provision_id ORDER BY hits DESC, name) k, lead(hits) OVER (PARTITION BY provision_id ORDER BY hits DESC, name) AS second FROM h) SELECT provision_id, name, hits::BIGINT AS hits FROM r WHERE k = 1 AND hits >= 1 AND hits >= 2 * coalesce(second, 0)""")
+def dominant_name(spark: SparkSession, d: str) -> DataFrame:
+    """The group most named in a passage's title and address, if named twice as often as any other."""
+    p = O.passages(spark, d, "doc_title", "source_url")
+    names = [r[0] for r in p.select("grp").distinct().orderBy("grp").collect()]  # the list of groups, a lexicon
+    t = F.lower(F.concat(T.blank(F.col("doc_title")), F.lit(" "), T.blank(F.col("source_url"))))
+    hits = F.array_sort(F.array(*[F.struct((-F.regexp_count(t, F.lit(n.split(" ")[0]))).alias("m"), F.lit(n).alias("name")) for n in names]))
+    best = p.select("provision_id", hits.alias("h")).select("provision_id", F.get("h", F.lit(0))["name"].alias("name"), (-F.get("h", F.lit(0))["m"]).cast("bigint").alias("hits"), F.coalesce(-F.get("h", F.lit(1))["m"], F.lit(0)).alias("second"))
+    return best.where((F.col("hits") >= 1) & (F.col("hits") >= 2 * F.col("second"))).select("provision_id", "name", "hits")

@@ -92,7 +92,7 @@ def mix(docs: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = 1
     kinds = {c: targets.schema[c].dataType.simpleString() for c in ("mix_id", "source")}
     runs = taken.groupBy("mix_id", "source").agg(F.count("*").alias("quota")).groupBy("mix_id").applyInPandas(
         tree, f"mix_id {kinds['mix_id']}, source {kinds['source']}, shard int, first bigint, last bigint")
-    owner = taken.join(F.broadcast(runs), ["mix_id", "source"]).where("turn between first and last").select("mix_id", "source", "repeat", "block", "room", "block_tokens", "shard")
+    owner = taken.join(small(runs), ["mix_id", "source"]).where("turn between first and last").select("mix_id", "source", "repeat", "block", "room", "block_tokens", "shard")
     drawn = owner.join(placed, ["source", "block"])
     # Only the last block of a quota is cut between documents.
     cut = Window.partitionBy("mix_id", "source", "repeat", "block").orderBy(F.xxhash64(F.lit(seed), "mix_id", "repeat", "doc_id"), "doc_id")

@@ -165,7 +165,10 @@ def misreadings(words: DataFrame) -> DataFrame:
 
 
 def titles(corpus: DataFrame) -> DataFrame:
-    """(title): masked titles that pages of the corpus carry: of documents, with and without the nation, and of headings."""
+    """(title, n): masked titles that pages of the corpus carry: of documents, with and without the nation, and of headings.
+
+    ``n`` counts distinct paths, not pages, so a title of a document with one heading path has 1 and is as good as any.
+    """
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\d+", "#"), r"\s+", " ")
     whole = corpus.select(plain(F.col("doc_title")).alias("title"), plain(F.col("nation")).alias("nation"), F.split(plain(F.col("heading_path")), " > ").alias("path")).distinct()
     parts = whole.select(F.explode(F.concat(F.array("title", F.concat_ws(" ", F.split("nation", " ")[0], "title"), F.concat_ws(" ", "nation", "title")), F.coalesce("path", F.array()))).alias("title"))
@@ -296,7 +299,7 @@ def learn(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     # A compound counts if it stands unbroken at least as often as its joined form.
     both = words.where("word like '%-%' and n >= 2").select(F.col("word").alias("compound"), F.regexp_replace("word", "-", "").alias("word"), F.col("n").alias("m"))
     compounds = both.join(words, "word", "left").where("n is null or m >= n").select(F.col("compound").alias("word"))
-    return materialise(known, "known"), wrong, materialise(compounds, "compounds"), materialise(titles(corpus).where("n >= 2").select("title"), "titles")
+    return materialise(known, "known"), wrong, materialise(compounds, "compounds"), materialise(titles(corpus).select("title"), "titles")
 
 
 def wanted(text: str | None, path: str | None) -> set[str]:

@@ -145,6 +145,12 @@ def test_join_and_broadcast_agree(spark, monkeypatch):
     assert one == two and len(one) == 2 and len(one[0][1]) == 5
 
 
+def test_header_of_a_document_with_one_heading_path(spark):
+    rows = [(f"c{i}", CLEAN, "Title 4 Civil Actions", "Civil Code", "Orrisk Nation") for i in range(12)] + [("t", "The court shall keep\nTuvessa Law Code\nthe record", "Chapter 9 Fees", "Law Code", "Tuvessa Tribe")]
+    df = spark.createDataFrame(rows, "provision_id string, text string, heading_path string, doc_title string, nation string")
+    assert [(r.provision_id, r.kinds, r.repaired) for r in scan_noise.read(df).collect()] == [("t", ["running_header"], "The court shall keep\nthe record")]
+
+
 def test_clean_text_has_no_trace(spark):
     assert noisy(spark, CLEAN.replace("record of", "record\nof") + ". See also the Civil Code,\npart 2, section 12.") == {}
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -194,7 +194,7 @@ class Reader:
         if mask(bare) in self.heads:
             return True
         parts = [mask(p) for p in re.split(r"\s{2,}|\s+[|]\s+", bare)]
-        return all(p in self.heads or " ".join(self.right(w) for w in p.split()) in self.heads for p in parts)
+        return all([p in self.heads or " ".join(self.right(w) for w in p.split()) in self.heads for p in parts])  # a list: all are asked at once
 
     def right(self, word: str) -> str:
         return self.wrong.get(word, word)
@@ -302,25 +302,6 @@ def learn(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return materialise(known, "known"), wrong, materialise(compounds, "compounds"), materialise(titles(corpus).select("title"), "titles")
 
 
-def wanted(text: str | None, path: str | None) -> set[str]:
-    """What a reader may ask about one text: its forms, the pieces of broken words and their joins, headings, and masked lines (marked)."""
-    ask = set(forms(path)) if path else set()
-    if not text:
-        return ask
-    ask |= rough_forms(text) | set(_FORM.findall(text.lower()))
-    rows = [r.strip() for r in text.split("\n") if r.strip()]
-    for i, row in enumerate(rows):
-        if len(rows) > 1 and len(row) <= 160:
-            bare = _CONT.sub("", _DECOR.sub("", row))
-            ask.update("#" + m for m in (mask(bare), *(mask(p) for p in re.split(r"\s{2,}|\s+[|]\s+", bare))))
-        m = _NEXT.search(row)
-        for later in rows[i + 1 : i + 4] if m else ():  # headers and numbers may stand between
-            if n := _FIRST.match(later):
-                left, right = m.group(1).lower(), n.group(1).lower()
-                ask |= {left, right, left + right, f"{left}-{right}"}
-    return ask
-
-
 _READ = "provision_id string, kinds array<string>, repaired string"
 
 
@@ -352,47 +333,77 @@ def read(corpus: DataFrame, most: int = BROADCAST_FORMS) -> DataFrame:
     return rows.mapInArrow(run, _READ)
 
 
+class _Told:
+    """What the corpus knows of one kind, as far as a text was told it; a question not asked before is noted in ``open`` and means no for now."""
+
+    def __init__(self, kind: str, told: dict[str, tuple], often: set[str], open_: set[str], mark: str = ""):
+        self.kind, self.told, self.often, self.open, self.mark = kind, told, often, open_, mark
+
+    def get(self, x: str, other: str | None = None) -> str | None:
+        if x in self.often:
+            return x if self.kind == "known" else other
+        if (got := self.told.get(self.mark + x)) is None:
+            self.open.add(self.mark + x)
+            return other
+        return (got[1] or x) if got[0] == self.kind else other
+
+    def __contains__(self, x: str) -> bool:
+        return self.get(x) is not None
+
+    def keys(self) -> _Told:
+        return self
+
+    def isdisjoint(self, words: Iterable[str]) -> bool:
+        return not any([w in self for w in words])  # all are asked at once
+
+
 def _read_by_join(rows: DataFrame, known: DataFrame, wrong: DataFrame, compounds: DataFrame, heads: DataFrame) -> DataFrame:
-    """The same for a vocabulary of any size: each text's questions are joined with the answers."""
+    """The same for a vocabulary of any size: the reader notes what it asks of each text, a join answers, and it reads again.
+
+    Answers lead to other questions (a line or a word whose misreadings are corrected), so texts with open
+    questions go round again; a text is settled by a reading in which every question had its answer.
+    """
     often = {r.word for r in known.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()}  # a fixed number
     sent = rows.sparkSession.sparkContext.broadcast(often)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asked = [sorted(wanted(t, p) - sent.value) for _, t, p in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(asked, pa.list_(pa.string()))], ["provision_id", "asked"])
-
-    none = F.lit(None).cast("string")
-    answers = known.select(F.col("word").alias("q"), F.lit("known").alias("kind"), none.alias("v")).unionAll(wrong.select("reading", F.lit("wrong"), "word"))
-    answers = answers.unionAll(compounds.select("word", F.lit("compound"), none)).unionAll(heads.select(F.concat(F.lit("#"), "title"), F.lit("head"), none))
-    asked = rows.mapInArrow(ask, "provision_id string, asked array<string>").select("provision_id", F.explode("asked").alias("q")).distinct()
-    told = asked.join(answers, "q").groupBy("provision_id").agg(F.collect_list(F.struct("q", "kind", "v")).alias("told"))  # at most a text's own words
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader({}, set(), set(), set())
         for b in batches:
             got = []
             for i, t, p, facts in zip(*(c.to_pylist() for c in b.columns)):
-                of = lambda kind, facts=facts: {f["q"] for f in facts or [] if f["kind"] == kind}
-                reader.wrong = {f["q"]: f["v"] for f in facts or [] if f["kind"] == "wrong"}
-                reader.known, reader.compounds, reader.heads = _Either(of("known"), sent.value), of("compound"), {h[1:] for h in of("head")}
+                told, open_ = {f["q"]: (f["kind"], f["v"]) for f in facts or []}, set()
+                reader.wrong, reader.known, reader.compounds = (_Told(k, told, sent.value, open_) for k in ("wrong", "known", "compound"))
+                reader.heads = _Told("head", told, frozenset(), open_, "#")
                 reader._paths.clear()
                 kinds, clean = reader(t, p)
-                if kinds:
-                    got.append((i, kinds, clean))
-            yield _found(*(list(c) for c in zip(*got))) if got else _found([], [], [])
-
-    return rows.join(told, "provision_id", "left").select("provision_id", "text", "heading_path", "told").mapInArrow(run, _READ)
-
-
-class _Either:
-    """Two sets as one."""
-
-    def __init__(self, one: set[str], two: set[str]):
-        self.one, self.two = one, two
+                if open_:
+                    got.append((i, t, p, None, None, sorted(open_)))
+                elif kinds:
+                    got.append((i, None, None, kinds, clean, []))
+            cols = list(zip(*got)) if got else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_of)], names)
+
+    names = ["provision_id", "text", "heading_path", "kinds", "repaired", "open"]
+    kinds_of = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
+    shape = "provision_id string, text string, heading_path string, kinds array<string>, repaired string, open array<string>"
+    none = F.lit(None).cast("string")
+    answers = known.select(F.col("word").alias("q"), F.lit("known").alias("kind"), none.alias("v")).unionAll(wrong.select("reading", F.lit("wrong"), "word"))
+    answers = answers.unionAll(compounds.select("word", F.lit("compound"), none)).unionAll(heads.select(F.concat(F.lit("#"), "title"), F.lit("head"), none))
 
-    def __contains__(self, x: str) -> bool:
-        return x in self.one or x in self.two
+    # First what each text asks; the loop reads all of them, those without a question too.
+    asked = rows.withColumn("told", F.lit(None).cast("array<struct<q:string,kind:string,v:string>>")).mapInArrow(run, shape).select("provision_id", F.explode("open").alias("q")).distinct()
+    facts, settled, todo = None, None, rows
+    while True:
+        new = materialise(asked.join(answers, "q", "left").select("provision_id", "q", "kind", "v"), "facts")  # a row for no, too: it is not asked again
+        facts = new if facts is None else facts.unionAll(new)
+        told = facts.groupBy("provision_id").agg(F.collect_list(F.struct("q", "kind", "v")).alias("told"))  # at most a text's own words
+        got = materialise(todo.join(told, "provision_id", "left").select("provision_id", "text", "heading_path", "told").mapInArrow(run, shape), "read")
+        done = got.where("size(open) = 0").select("provision_id", "kinds", "repaired")
+        settled = done if settled is None else settled.unionAll(done)
+        todo = got.where("size(open) > 0").select("provision_id", "text", "heading_path", "open")
+        if todo.isEmpty():
+            return settled
+        asked, todo = todo.select("provision_id", F.explode("open").alias("q")).distinct(), todo.drop("open")
 
 
 def reflow(found: DataFrame) -> DataFrame:

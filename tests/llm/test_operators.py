@@ -145,6 +145,17 @@ def test_join_and_broadcast_agree(spark, monkeypatch):
     assert one == two and len(one) == 2 and len(one[0][1]) == 5
 
 
+def test_join_and_broadcast_agree_on_misread_lines(spark, monkeypatch):
+    monkeypatch.setattr(scan_noise, "FREQUENT", 4)
+    rows = [(f"c{i}", CLEAN.replace("copy", f"copy number {i} in twenty-five hearings"), "Title 4 Civil Actions > Chapter 2 Service", "Civil Code", "Orrisk Nation") for i in range(12)]
+    texts = {"header": "The court shall\nTitle 4 Civll Actlons\nkeep the record", "two": "The court shall\nCivil Code  Chaptcr 2 Servicc\nkeep the record", "piece": "The record of twcnty-\nfive hearings",
+             "far": "The court shall keep the re-\nCivil Code\n- 1 -\nCivil Code\n- 2 -\nCivil Code\ncord of it", "chain": "keep a judg-\nme-\nnt of it", "soft": "the judg\u00ad mcnt of it", "rare": "the zorb-\nlat of it"}
+    rows += [(k, t, "Title 4 Civil Actions", "Civil Code", "Orrisk Nation") for k, t in texts.items()] + [("header", "Other judgmcnt of the clerk", None, None, None), ("n", None, None, None, None)]
+    df = spark.createDataFrame(rows, "provision_id string, text string, heading_path string, doc_title string, nation string")
+    one, two = (sorted(map(tuple, scan_noise.read(df, most).collect())) for most in (10**6, 0))
+    assert one == two and {"far", "chain", "soft", "rare"} <= {r[0] for r in one} and {("header", "The court shall\nkeep the record"), ("two", "The court shall\nkeep the record"), ("soft", "the judgment of it")} <= {(r[0], r[2]) for r in one}
+
+
 def test_header_of_a_document_with_one_heading_path(spark):
     rows = [(f"c{i}", CLEAN, "Title 4 Civil Actions", "Civil Code", "Orrisk Nation") for i in range(12)] + [("t", "The court shall keep\nTuvessa Law Code\nthe record", "Chapter 9 Fees", "Law Code", "Tuvessa Tribe")]
     df = spark.createDataFrame(rows, "provision_id string, text string, heading_path string, doc_title string, nation string")

@@ -2,15 +2,19 @@
 
 Unfilled placeholders are found by one small grammar per delimiter; filler by its words and its repetition;
 error pages and notices by what they say, with the addresses and reference numbers that servers put in. One
-automaton over the lower-cased text finds which texts hold anything to look at, so that the grammars run on few.
+automaton over the lower-cased text, white space flattened, finds literals that the grammars require, so that they run on few.
 A placeholder inside a code block, or in a sentence that explains how to fill in such a place, is discounted
 unless placeholders are dense in the whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from operator import and_
+from re import _constants as C
+from re import _parser as P
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,21 +87,88 @@ SAYS = (
 _SAYS = re.compile("|".join(f"(?:{s})" for s in SAYS), re.I)
 
 #: A server's address or path with the numbers that only generated pages have.
-_TRACE = re.compile(r"(?i)\b(?:[a-z0-9-]+\.)+(?:example|com|org|net|gov|edu|info|invalid|test|local)\b(?:/\S*)?|(?<![\w/])/[a-z]{2,}\d+/[a-z]+\d+")
+_ADDRESS, _NUMBERED = r"\b(?:[a-z0-9-]+\.)+(?:example|com|org|net|gov|edu|info|invalid|test|local)\b(?:/\S*)?", r"(?<![\w/])/[a-z]{2,}\d+/[a-z]+\d+"
+_TRACE = re.compile(f"(?i){_ADDRESS}|{_NUMBERED}")
 _TECHNICAL = re.compile(r"(?i)\b(?:browser|java ?script|cookies?|scripts?|server|page|error|reload|retry|timeout|timed out|session|log ?in|cache|url|loaded|load|build|support id|reference|maintenance|host|path|site|viewer|incident|code|unavailable|closed|hidden)\b")
 
-# Substrings of the lower-cased text that make it worth a look, by what may be found.
-_TRIGGERS = {
-    "placeholder": ("{", "<<", "%%", "@@", "##", "«", "[•", "[ •", "[●", "[*", "____", "........", "xx/", "xx-xx", "xx.xx", "xx days", "xx dollars", "xx ", "xx\n", "$xx", "$ xx", "mm/dd", "mm-dd", "mm.dd", "dd/mm", "dd-mm", "dd.mm", "tbd", "tba]", "tbc]", "to be filled", "to be determined", "to be inserted", "to be completed", "to be supplied", "to be added",
-                    "<insert", "< insert", "<enter", "<your", "<name", "<date", "<add", "<type", "<fill", "[insert", "[ insert", "[enter", "[your", "[fill", "[name", "[date", "[to be", "[__", "[ _", "[..", "[xx", "[??", "$__", "$ __"),
-    "filler": ("lorem", "dolor sit", "consectetur", "eiusmod", "foo ", " bar bar", "blah", "placeholder", "dummy", "goes here", "text here", "content here", "copy here", "goes live", "sample paragraph", "sample text", "sample content", "layout test", "text text", "asdf", "qwerty"),
-    "error_page": ("javascript", "java script", "enable js", "requires js", "cookies", "scripting", " scripts", "your browser", "modern browser", "noscript", "loading viewer", "are human", "a human", "captcha", "ray id", "too many requests", "before asking", "not found", "page you", "gateway", "unavailable", "server error", "down for maintenance", "access denied", "this server", "requested url", "support id", "your administrator", "site administrator", "server administrator", "webmaster", "establishing a connection", "establishing a database", "traceback",
-                   "error code", "error 4", "error 5", "http 4", "http 5", "status 4", "status 5", "status code", "http code", "keyerror", "valueerror", "typeerror", "attributeerror", "indexerror", "runtimeerror", "warning:", "fatal", "stack trace", "uncaught", "forbidden", "unauthorized", "unauthorised", "bad request", " gone", "session has", "timed out", "expired", "your session", "no longer valid", "log in", "login", "sign in", "not trusted", "own risk?", "be displayed", " is damaged", "link is broken", "leads nowhere", "went wrong", "oops", "closed the connection", "connection reset", "connection was", "connection refused",
-                   "remainder of th", "rest of th", "so the remainder", "content not", "content could", "content is", "retry", "try again later", "reload", ".example", ".com", ".org", ".net", ".gov", ".edu", ".info", ".invalid", ".test", ".local"),
-}
+# Rough shares of letters and marks in text, by which the rarest literal is chosen.
+_SHARE = dict(zip(" etaoinsrhldcumfpgwybvkxjqz", (.18, .1, .08, .07, .06, .06, .06, .05, .05, .05, .03, .03, .02, .02, .02, .02, .02, .02, .02, .02, .01, .008, .006, .0015, .001, .001, .001))) | dict.fromkeys(".,-", .01) | dict.fromkeys("0123456789()$", .005)
+
+
+def required(grammar: str) -> set[str]:
+    """Lower-cased literals of which every match of the grammar, lower-cased, holds at least one; the rarest such set. Empty if there is none."""
+    sets: list[set[str]] = []
+
+    def add(x: set[str]) -> None:
+        if x and "" not in x:
+            sets.append(x)
+
+    def walk(seq, run: set[str]) -> set[str]:
+        """The literals that end the sequence, after those in ``run``; every set passed on the way goes to ``sets``."""
+        for op, v in seq:
+            step: set[str] | None = None
+            if op is C.LITERAL:
+                step = {chr(v).lower()}
+            elif op is C.IN and len(v) <= 12 and all(k is C.LITERAL or k is C.RANGE and x[1] - x[0] < 10 for k, x in v):
+                step = {chr(c).lower() for k, x in v for c in ([x] if k is C.LITERAL else range(x[0], x[1] + 1))}
+            elif op is C.SUBPATTERN:
+                run = walk(v[3], run)
+                continue
+            elif op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+                continue
+            elif op is C.BRANCH:
+                parts = [finite(x) for x in v[1]]
+                if None in parts:
+                    parts = [required_of(x) for x in v[1]]
+                    add(run)
+                    add(set().union(*parts) if all(parts) else set())
+                    run = {""}
+                    continue
+                step = set().union(*parts)
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                least, most, body = v
+                once = finite(body)
+                if once is not None and (least, most) == (0, 1):
+                    step = once | {""}
+                elif least:
+                    if least != most:  # more may stand before the last ones
+                        add(run)
+                        run = {""}
+                    for _ in range(least):
+                        run = walk(body, run)
+                    continue
+            if step is None or len(run) * len(step) > 256:
+                add(run)
+                run = {""}
+            if step is not None:
+                run = {a + b for a in run for b in step}
+        return run
+
+    def finite(seq) -> set[str] | None:
+        nonlocal sets
+        kept, sets = sets, []
+        got = walk(seq, {""})
+        broke, sets = bool(sets) or any(op in (C.ANY, C.NOT_LITERAL, C.GROUPREF, C.MAX_REPEAT, C.MIN_REPEAT, C.IN, C.SUBPATTERN, C.BRANCH) for op, _ in seq), kept
+        return None if broke else got
+
+    def required_of(seq) -> set[str]:
+        nonlocal sets
+        kept, sets = sets, []
+        add(walk(seq, {""}))
+        cost = lambda x: sum(math.prod(_SHARE.get(c, 1e-6) for c in w) for w in x)
+        best, sets = min(sets, key=cost, default=set()), kept
+        return best
+
+    return required_of(P.parse(grammar, re.I))
+
+
+#: The grammars behind each kind. What has no required literal, capitals in brackets, numbered paths and repeated or resting-hand filler, has its own test.
+_GRAMMARS = {"placeholder": tuple(v for k, v in PLACEHOLDERS.items() if k != "square_capitals"), "filler": (LATIN.pattern, _FILLER_SAYS.pattern), "error_page": (*SAYS, _ADDRESS)}
 _CAPITAL_BRACKET = re.compile(r"\[\s*[A-Z]{2,}[A-Z0-9 _-]*\]")
-_PATH = re.compile(r"(?i)(?<![\w/])/[a-z]{2,}\d+/[a-z]+\d+")
-_HOME_ROW = re.compile(r"[asdfghjklqwerzxcv]")
+_PATH = re.compile(f"(?i){_NUMBERED}")
+_HOME_ROW = "asdfghjklqwerzxcv"
+# Letters that match an ASCII letter where case is set aside, but are no such letter in lower case.
+_FOLD = str.maketrans({"ſ": "s", "ı": "i", "\u0307": None})
 
 
 def _placeholders(text: str) -> str | None:
@@ -116,6 +187,15 @@ def _placeholders(text: str) -> str | None:
     return None
 
 
+def _may_repeat(flat: str, low: str, filler_words: int) -> bool:
+    """Whether the tests of ``_filler`` on repeated words, on the share of filler words or on the letters may hold; quick, and never false where one holds."""
+    words = low.split(" ")
+    if any(map(and_, map(str.endswith, words, words[1:]), map(str.startswith, words[2:], words[1:]))):
+        return True
+    plain = [w for w in flat.split(" ") if w.isascii() and w.isalpha()]  # some of the words that are counted
+    return 2 * filler_words >= len(plain) or sum(map("".join(plain).lower().count, "tino")) <= 0.03 * len(low)
+
+
 def _filler(text: str, flat: str) -> str | None:
     if LATIN.search(flat) or _FILLER_SAYS.search(flat) or _THRICE.search(flat):
         return "filler"
@@ -125,7 +205,7 @@ def _filler(text: str, flat: str) -> str | None:
         return "filler"
     joined = "".join(letters)
     # Hands resting on a keyboard: hardly any letter of the upper right or lower right.
-    if len(letters) >= 4 and len(joined) >= 20 and len(_HOME_ROW.findall(joined)) >= 0.97 * len(joined):
+    if len(letters) >= 4 and len(joined) >= 20 and sum(map(joined.count, _HOME_ROW)) >= 0.97 * len(joined):
         return "filler"
     return None
 
@@ -145,31 +225,32 @@ class Detector:
     def __init__(self):
         import ahocorasick
 
+        triggers: dict[str, set[str]] = {}
+        for kind, grammars in _GRAMMARS.items():
+            for g in grammars:
+                for t in required(g):
+                    triggers.setdefault(t, set()).add(kind)
+        for t in FILLER:
+            triggers.setdefault(t, set()).add("filler_word")
         self._any = ahocorasick.Automaton()
-        for kind, triggers in _TRIGGERS.items():
-            for t in triggers:
-                self._any.add_word(t, kind)
+        for t, kinds in triggers.items():
+            self._any.add_word(t, kinds)
         self._any.make_automaton()
 
     def __call__(self, text: str | None) -> list[str]:
         if not text or text.isspace():
             return []
-        low = text.lower()
-        look = {kind for _, kind in self._any.iter(low)}
-        if "[" in text and _CAPITAL_BRACKET.search(text):
+        flat = " ".join(text.split())
+        low = flat.lower() if flat.isascii() else flat.lower().translate(_FOLD)
+        hits = [kinds for _, kinds in self._any.iter(low)]
+        look = set().union(*hits)
+        code = "```" in text or "<code" in low or "<pre" in low
+        if code or "[" in flat and _CAPITAL_BRACKET.search(flat):
             look.add("placeholder")
-        if "/" in text and _PATH.search(text):
+        if "/" in flat and _PATH.search(flat):
             look.add("error_page")
-        if "filler" not in look:
-            words = low.split()
-            few = sum(map(low.count, "tino")) < 0.02 * len(low)  # letters that a resting hand does not reach
-            if few or len(words) >= 8 and len(set(words)) < 0.45 * len(words):
-                look.add("filler")
-        if not look:
-            return []
-        flat = " ".join(text.split())
-        out = [_placeholders(text if "```" in text or "<code" in low or "<pre" in low else flat)] if "placeholder" in look else []
-        out += [_filler(text, flat)] if "filler" in look else []
+        out = [_placeholders(text if code else flat)] if "placeholder" in look else []
+        out += [_filler(text, flat)] if "filler" in look or _may_repeat(flat, low, sum("filler_word" in kinds for kinds in hits)) else []
         out += [_page(flat)] if "error_page" in look else []
         return [k for k in out if k]
 

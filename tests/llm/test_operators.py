@@ -200,6 +200,51 @@ def test_real_text_is_kept(text):
     assert residue.Detector()(text) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Your\nbrowser must be updated", "too many\nrequests", "(amount to be\nsupplied)", "404 Error", "500 Error", "complete the check", "This is filler text", "Scripts must be enabled", "[ ???]", "[tba by clerk]",
+     " ".join(f"clerk{i} reads paper{i}" for i in range(40)) + " pre-test test\nTest. " + " ".join(f"judge{i} rules" for i in range(40)), "foo, bar, baz; item", "Blah x1 x2 x3 x4 x5 x6 qux dummy todo"],
+)
+def test_filter_lets_residue_through(text):
+    assert residue.Detector()(text)
+
+
+def test_filter_is_a_superset_of_its_grammars():
+    from re import _constants as C
+    from re import _parser as P
+
+    r, glyphs = random.Random(4), [chr(c) for c in range(32, 127)] + list("–—•●◦·«»")
+
+    def say(seq):
+        out = ""
+        for op, v in seq:
+            if op is C.LITERAL:
+                out += chr(v)
+            elif op in (C.IN, C.ANY, C.NOT_LITERAL):
+                ok = [c for c in "aXb0_ -.[]{}<>/\\?|:(–!" if op is C.ANY or re.fullmatch(one(op, v), c)] if op is not C.IN else [c for c in glyphs if any(k is C.LITERAL and x == ord(c) or k is C.RANGE and x[0] <= ord(c) <= x[1] or k is C.CATEGORY and {C.CATEGORY_SPACE: c.isspace(), C.CATEGORY_DIGIT: c.isdigit(), C.CATEGORY_WORD: c == "a", C.CATEGORY_NOT_SPACE: c == "q"}.get(x, False) for k, x in v)]
+                negated = op is C.IN and v[0][0] is C.NEGATE
+                out += "a" if negated else r.choice(ok)
+            elif op is C.BRANCH:
+                out += say(r.choice(v[1]))
+            elif op is C.SUBPATTERN:
+                out += say(v[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                for _ in range(r.randint(v[0], min(v[0] + 2, int(v[1])))):
+                    out += say(v[2])
+        return out
+
+    def one(op, v):
+        return f"[^{re.escape(chr(v))}]"
+
+    for grammars in residue._GRAMMARS.values():
+        for g in grammars:
+            need = residue.required(g)
+            assert need, g
+            for _ in range(60):
+                low = " ".join(say(P.parse(g, re.I)).split()).lower()
+                assert any(t in low for t in need), (g, low)
+
+
 def test_residue_of_tables(spark):
     df = spark.createDataFrame([("a", "Lorem ipsum"), ("a", "Lorem ipsum"), (None, "Lorem ipsum"), ("b", None), ("c", " ".join(f"clerk {i} files an order" for i in range(20000)))], "provision_id string, text string").withColumn("residue", residue.F.lit(1))
     assert [r.provision_id for r in residue.detect(df).collect()] == ["a", "a"]

@@ -204,3 +204,12 @@ def test_entry_without_the_subpackage(monkeypatch):
     core = set(e.queries())
     assert core and core <= whole and not any(n[0] == "p" and n[1].isdigit() for n in core)
     assert set(e.oracle_sql()) <= core
+
+
+def test_sign_flip_over_all_groups(spark):
+    r = random.Random(7)
+    few = spark.createDataFrame([(f"g{i}", r.choice([0.25, -0.5, 1.0, r.random()])) for i in range(9)] + [("n", None)], "g string, d double")
+    assert [tuple(x) for x in resample.sign_flip_halves(few, "g", "d").collect()] == [pytest.approx(tuple(x)) for x in resample.sign_flip_exact(few, "g", "d").collect()]
+    many = spark.createDataFrame([(f"g{i:02}", 1.0) for i in range(24)], "g string, d double")
+    assert [tuple(x) for x in resample.sign_flip_halves(many, "g", "d").collect()] == [(24, 1.0, 2, 2 / 2**24)]
+    assert resample.sign_flip_halves(many.limit(0), "g", "d").first().n == 0

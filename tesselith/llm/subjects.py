@@ -24,9 +24,9 @@ from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
 #: Labelled documents that the model is fitted on at most, drawn by a hash; every document is scored.
-MOST_LABELLED = 4_000
+MOST_LABELLED = 6_000
 
-DIM, BUCKETS, GRAMS = 16, 1 << 15, (3, 4)
+DIM, BUCKETS, GRAMS = 24, 1 << 16, (3, 4)
 ROUNDS, RATE = 30, 0.1
 
 #: Partitions over which gradients are summed, and least probability and share of words of a subject.
@@ -65,8 +65,8 @@ def word_numbers(start: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.nda
 
 
 def features(word: bytes) -> np.ndarray:
-    """The bucket of the word, then those of its character n-grams. Runs of more than 60 letters are all one word."""
-    text = b"<" + word + b">" if len(word) <= 60 else b"<>"
+    """The bucket of the word, then those of its character n-grams, however long it is."""
+    text = b"<" + word + b">"
     parts = [text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)]
     return np.array([zlib.crc32(text, 1), *map(zlib.crc32, parts)], np.int64) % BUCKETS
 
@@ -165,7 +165,7 @@ class Scorer:
         return got
 
     def shares(self, texts: list[str | None], sure: float = SURE) -> np.ndarray:
-        """(texts, subjects): share of the words that stand in sentences assigned to the subject."""
+        """(texts, subjects): share of the words that stand in sentences assigned to the subject; a sentence may have several subjects."""
         n_subjects = self.outputs.shape[1]
         out = np.zeros((len(texts), n_subjects))
         start, end, sentence, doc, raw = cut(texts)
@@ -177,9 +177,8 @@ class Scorer:
         size = np.diff(np.append(at, len(sentence)))
         z = np.add.reduceat(logits[which], at, axis=0) / size[:, None] + self.bias
         owner = doc[sentence[at]]
-        best = z.argmax(1)
-        ok = z[np.arange(len(z)), best] > np.log(sure / (1 - sure))
-        np.add.at(out, (owner[ok], best[ok]), size[ok])
+        i, j = np.nonzero(z > np.log(sure / (1 - sure)))
+        np.add.at(out, (owner[i], j), size[i])
         total = np.bincount(owner, size, minlength=len(texts))
         return out / np.maximum(total, 1)[:, None]
 

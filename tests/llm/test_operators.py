@@ -380,6 +380,12 @@ def test_subjects_held_out(spark):
     assert not {x for x in got if x[0] >= 900}
 
 
+def test_long_words_keep_their_features():
+    one, two = b"clinic" * 30, b"harbour" * 30
+    a, b = subjects.features(one), subjects.features(two)
+    assert len(a) == 1 + (len(one)) + (len(one) - 1) and set(a[1:]) != set(b[1:]) and a[0] != b[0]
+
+
 def test_subjects_without_labels(spark):
     docs = spark.createDataFrame([(1, "the river")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, subject string")

@@ -1,7 +1,8 @@
 """Problem 5: template residue and error pages in place of, or beside, real text.
 
 Unfilled placeholders are found by one small grammar per delimiter; filler by its words and its repetition;
-error pages and notices by what they say, with the addresses and reference numbers that servers put in. One
+error pages and notices by what they say, and by structure: technical words, failures, requests to the reader and
+traces of a server that meet in two sentences none of which commands as enacted text does. One
 automaton over the lower-cased text, white space flattened, finds literals that the grammars require, so that they run on few.
 A placeholder inside a code block, or in a sentence that explains how to fill in such a place, is discounted
 unless placeholders are dense in the whole text.
@@ -37,7 +38,8 @@ PLACEHOLDERS = {
     "hash": rf"##\s*{_NAME}\s*##",
     "guillemet": rf"«\s*{_NAME}\s*»",
     "bullet": r"\[\s*[•●◦*·]\s*[A-Za-z0-9 _-]{0,60}\]",
-    "square_word": r"\[\s*(?:insert|enter|your|fill in|name of|date of|to be|tbd|tba|tbc)\b[^\[\]]{0,60}\]",
+    "square_word": r"\[\s*(?i:insert|enter|your|fill in|name of|date of|to be|tbd|tba|tbc)\b[^\[\]]{0,60}\]",
+    "square_noun": r"\[\s*(?i:(?:(?:the|full|legal|county|court|case|docket|judge|party|agency|village|tribe|tribal|nation|band|last|first) ){0,3}(?:names?|number|date|title|address|amount|tribe|nation|signature|phone|e-?mail))\s*\]",
     "square_tbd": r"\[[^\[\]]{0,60}\b(?:TBD|TBA|TBC|to be (?:filled in|determined|inserted|completed|supplied))\s*\]",
     "square_capitals": r"\[\s*[A-Z]{2,}(?:[ _-][A-Z0-9]{2,}){0,6}\s*\]",
     "square_line": r"\[\s*(?:_{2,}|\.{3,}|x{3,}|X{2,}|\?{2,})\s*\]",
@@ -63,7 +65,7 @@ FILLER = {"foo", "bar", "baz", "qux", "blah", "test", "abc", "xxx", "tbd", "asdf
 LATIN = re.compile(r"(?i)\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur adipisc|\bsed do eiusmod\b")
 _FILLER_SAYS = re.compile(
     r"(?i)\bthis is (?:a )?(?:placeholder|dummy|sample|filler) (?:content|text|copy|page)\b|\bdummy text (?:for|of)\b|\b(?:your|add|insert|put) (?:\w+ ){0,2}(?:text|content|copy) (?:goes )?here\b"
-    r"|\breplace (?:this )?(?:copy|text|content)\b.{0,30}\bbefore the site goes live\b|\bsample (?:paragraph|text|content) \d|\bplaceholder (?:content|text) \d|\blayout test\b"
+    r"|\breplace (?:this )?(?:copy|text|content)\b.{0,30}\bbefore (?:the |this )?(?:site|page|document|code) (?:goes live|is published|launches|is posted)\b|\bsample (?:paragraph|text|content) \d|\bplaceholder (?:content|text) \d|\b(?:layout|template|typesetting|print) test\b"
 )
 _THRICE = re.compile(r"\b([A-Za-z]{2,})(?:\s+\1){2,}\b", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -81,8 +83,8 @@ SAYS = (
     r"requested url\b.{0,80}was (?:rejected|not found|blocked)", r"support id is", r"consult your administrator", r"tell the webmaster", r"contact the (?:webmaster|site administrator|server administrator)",
     r"error establishing a (?:connection|database)", r"traceback \(most recent call last\)", r"\b(?:key|value|type|attribute|index|runtime)error:", r"warning: \w+\(\)", r"fatal: query", r"fatal error:", r"stack trace:", r"uncaught exception",
     r"session (?:on \S+ |[0-9a-f]+ )?(?:has )?(?:expired|timed out)", r"your session (?:has|on)\b", r"token [0-9a-f]+ is no longer valid", r"log ?in (?:again |to \S+ )?to (?:continue|read|view|see|proceed)", r"please (?:log|sign) ?in\b", r"sign in to (?:continue|read|view|see|your)",
-    r"certificate of \S+ is not trusted", r"proceed at (?:your )?own risk\?", r"could not be displayed", r"(?:file|document) \S+ is damaged", r"(?:that|this) link is broken", r"\bleads nowhere\b", r"something went wrong", r"\boops!", r"server closed the connection", r"connection (?:was )?(?:reset|refused|timed out)",
-    r"(?:rest|remainder) of (?:this|the) (?:section|page|document|text) (?:failed to load|is hidden|could not be loaded|was not loaded)", r"content (?:is )?(?:unavailable|not available|could not be loaded)\b", r"so the remainder of", r"retry \(?\d", r"please try again later", r"then reload\b", r"press reload", r"switch(?:ed)? (?:them|it) on, then",
+    r"certificate of \S+ is not trusted", r"could not be displayed", r"(?:file|document) \S+ is damaged", r"(?:that|this) link is broken", r"something went wrong", r"\boops!", r"server closed the connection", r"connection (?:was )?(?:reset|refused|timed out)",
+    r"(?:rest|remainder) of (?:this|the) (?:section|page|document|text) (?:failed to load|is hidden|could not be loaded|was not loaded)", r"content (?:is )?(?:unavailable|not available|could not be loaded)\b", r"retry \(?\d", r"please try again later", r"then reload\b", r"press reload", r"switch(?:ed)? (?:them|it) on, then",
 )
 _SAYS = re.compile("|".join(f"(?:{s})" for s in SAYS), re.I)
 
@@ -91,6 +93,17 @@ _ADDRESS, _NUMBERED = r"\b(?:[a-z0-9-]+\.)+(?:example|com|org|net|gov|edu|info|i
 _TRACE = re.compile(f"(?i){_ADDRESS}|{_NUMBERED}")
 _TECHNICAL = re.compile(r"(?i)\b(?:browser|java ?script|cookies?|scripts?|server|page|error|reload|retry|timeout|timed out|session|log ?in|cache|url|loaded|load|build|support id|reference|maintenance|host|path|site|viewer|incident|code|unavailable|closed|hidden)\b")
 
+# What meets in an error page or notice: words of the technique, failures, requests to the reader, and what only a server writes.
+_STRUCTURE = {
+    "technique": r"\b(?:java ?script|cookies|browsers?|servers?|webmaster|web ?site|site map|captcha|https?|urls?|cache|cdn|proxy|upstream|hostname|dns|ssl|firewall|gateway|database|stack trace|web ?page|log ?in page|home page)\b",
+    "failure": r"\b(?:failed|fails|unable to|could not|cannot|can't|couldn't|did not|doesn't|not found|does not exist|no longer (?:exists|available|valid)|unavailable|expired|timed out|denied|forbidden|refused|rejected|blocked|disabled|switched off|turned off|not supported|not trusted|not loaded|moved|went wrong|offline|down for|broken|damaged|interrupted|hidden|nowhere|exceeded|out of date|error)\b",
+    "request": r"(?:^|\bplease |[,;] then |\bor )(?:enable|turn (?:it |them )?on|switch (?:it |them )?on|allow|reload|refresh|retry|try (?:again|later|another)|log ?in|sign ?in|go back|return to the (?:home|start|previous)|click|check (?:the|that) (?:address|url|link)|check your|clear your|update your|upgrade|contact|search|press|wait \d|verify|disable your|proceed|use the site map)\b",
+    "trace": rf"{_ADDRESS}|{_NUMBERED}|(?<![\w$§.,-])(?<!page )(?<!section )(?<!chapter )(?<!rule )(?<!title )[45]0\d\b(?! of\b)(?![-.]\d)|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{{7,}}\b|\b(?:error|ref(?:erence)?|incident|support|ray|request) (?:code|id|number)\W{{0,3}}[0-9a-f]*\d",
+}
+_PARTS = {k: re.compile(f"(?i){v}") for k, v in _STRUCTURE.items()}
+_SENTENCE = re.compile(r"(?<=[.!?:\]])\s+")
+_COMMANDS = re.compile(r"(?i)\b(?:shall|may not|whoever|hereby|offen[cs]e|is (?:guilty|liable|entitled|prohibited)|under (?:section|chapter|this)|(?:court|clerk|judge|council|party|person|defendant|officer) (?:may|must|is|has))\b")
+
 # Rough shares of letters and marks in text, by which the rarest literal is chosen.
 _SHARE = dict(zip(" etaoinsrhldcumfpgwybvkxjqz", (.18, .1, .08, .07, .06, .06, .06, .05, .05, .05, .03, .03, .02, .02, .02, .02, .02, .02, .02, .02, .01, .008, .006, .0015, .001, .001, .001))) | dict.fromkeys(".,-", .01) | dict.fromkeys("0123456789()$", .005)
 
@@ -219,6 +232,18 @@ def _page(flat: str) -> str | None:
     return None
 
 
+def _structure(flat: str) -> str | None:
+    """Whether two successive sentences, none of which commands, hold three of the four parts of a notice, a technical word among them."""
+    before: set[str] = set()
+    for sentence in _SENTENCE.split(flat):
+        here = set() if _COMMANDS.search(sentence) else {k for k, part in _PARTS.items() if part.search(sentence)}
+        both = here | before
+        if "technique" in both and len(both) >= 3 and ("trace" in both or "request" in here):
+            return "error_page"
+        before = here
+    return None
+
+
 class Detector:
     """Tells which residue a text holds; null and blank texts hold none."""
 
@@ -232,6 +257,8 @@ class Detector:
                     triggers.setdefault(t, set()).add(kind)
         for t in FILLER:
             triggers.setdefault(t, set()).add("filler_word")
+        for t in required(_STRUCTURE["technique"]):
+            triggers.setdefault(t, set()).add("technique")
         self._any = ahocorasick.Automaton()
         for t, kinds in triggers.items():
             self._any.add_word(t, kinds)
@@ -251,7 +278,8 @@ class Detector:
             look.add("error_page")
         out = [_placeholders(text if code else flat)] if "placeholder" in look else []
         out += [_filler(text, flat)] if "filler" in look or _may_repeat(flat, low, sum("filler_word" in kinds for kinds in hits)) else []
-        out += [_page(flat)] if "error_page" in look else []
+        page = _page(flat) if "error_page" in look else None
+        out.append(page or (_structure(flat) if "technique" in look else None))
         return [k for k in out if k]
 
 

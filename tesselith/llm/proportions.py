@@ -101,8 +101,10 @@ def draw(records: DataFrame, targets: DataFrame, fields: tuple[str, ...] = FIELD
     total = Window.partitionBy("request_id")
     report = (
         state.join(sample.groupBy(*per).agg(F.count("*").alias("drawn")), per, "left")
-        .select("request_id", "field_name", "category", "available", "wanted", "min_rows", F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn"),
-                (F.col("available") < F.greatest(F.col("min_rows").cast("double"), F.col("wanted"))).alias("short"))
+        .select("request_id", "field_name", "category", "available", "wanted", "min_rows", F.coalesce("drawn", F.lit(0)).cast("bigint").alias("drawn"))
+        # Short is a category of which everything was drawn, and still too little.
+        .withColumn("short", (F.col("drawn") == F.col("available")) & (F.col("drawn") < F.greatest(F.col("min_rows").cast("double"), F.col("wanted"))))
+        .select("request_id", "field_name", "category", "available", "wanted", "min_rows", "drawn", "short")
         .withColumn("drawn_share", F.try_divide(F.col("drawn"), F.sum("drawn").over(total)))
     )
     return sample.drop("field_name", "_value"), report
@@ -124,16 +126,29 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Available, wanted and drawn provisions of every target."""
-    return _both(spark, sf_dir)[1]
+    return _both(spark, sf_dir)[1].withColumns({c: F.round(c, 8) for c in ("wanted", "drawn_share")})
 
 
-SQL = {
-    "p1_found": """
+_HAVE = """
 WITH one AS (SELECT provision_id, min(trim(regexp_replace(lower(silver), '\\s+', ' ', 'g'))) silver, min(trim(regexp_replace(lower(domain), '\\s+', ' ', 'g'))) AS "domain",
               min(trim(regexp_replace(lower(nation), '\\s+', ' ', 'g'))) nation FROM corpus WHERE provision_id IS NOT NULL GROUP BY 1),
 long AS (SELECT 'silver' f, silver v, provision_id FROM one UNION ALL SELECT 'domain', "domain", provision_id FROM one UNION ALL SELECT 'nation', nation, provision_id FROM one),
 have AS (SELECT f, v, count(*) n FROM long GROUP BY 1, 2)
-SELECT t.request_id, t.category FROM sample_targets t LEFT JOIN have h ON h.f = t.field_name AND h.v = trim(regexp_replace(lower(t.category), '\\s+', ' ', 'g'))
+"""
+
+SQL = {
+    "p1_found": _HAVE
+    + """SELECT t.request_id, t.category FROM sample_targets t LEFT JOIN have h ON h.f = t.field_name AND h.v = trim(regexp_replace(lower(t.category), '\\s+', ' ', 'g'))
 WHERE coalesce(h.n, 0) < greatest(t.min_rows, t.target_share * t.sample_fraction * (SELECT count(*) FROM one))
+""",
+    # The draw's size in a category: the integers that its part of the running sum passes, or its floor.
+    "p1_report": _HAVE
+    + """, t AS (SELECT DISTINCT request_id, field_name, category, coalesce(min_rows, 0) AS min_rows, coalesce(target_share, 0.0) * coalesce(sample_fraction, 0.0) * (SELECT count(*) FROM one)::DOUBLE AS wanted,
+  coalesce(h.n, 0) AS available, ('0x' || substr(sha256('7|' || request_id), 1, 12))::BIGINT / 281474976710656.0 AS u, trim(regexp_replace(lower(category), '\\s+', ' ', 'g')) AS value
+  FROM sample_targets LEFT JOIN have h ON h.f = field_name AND h.v = trim(regexp_replace(lower(category), '\\s+', ' ', 'g'))),
+p AS (SELECT *, CASE WHEN available > 0 THEN least(1.0, wanted / available) ELSE 0.0 END AS pi FROM t),
+b AS (SELECT *, coalesce(sum(available * pi) OVER (PARTITION BY request_id ORDER BY field_name, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS base FROM p),
+d AS (SELECT *, greatest(CASE WHEN pi >= 1 THEN available ELSE floor(base + available * pi + u) - floor(base + u) END, least(min_rows, available))::BIGINT AS drawn FROM b)
+SELECT request_id, field_name, category, available, round(wanted, 8) AS wanted, min_rows, drawn, drawn = available AND drawn < greatest(min_rows, wanted) AS short, round(drawn / nullif(sum(drawn) OVER (PARTITION BY request_id), 0)::DOUBLE, 8) AS drawn_share FROM d
 """,
 }

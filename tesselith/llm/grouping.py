@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselith.plans.lineage import materialise, release
-from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
-#: Edges that one cell of the grid holds on average.
+#: Edges that one cell of the grid holds at most on average.
 CELL_EDGES = 200_000
 
+#: Rows and columns of the smallest grid; a larger one has a cell for each core or for CELL_EDGES edges.
+LEAST_BLOCKS = 4
+
 
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
     """The smallest member for every other member of each local component."""
@@ -47,7 +49,7 @@ def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
 def _shorten(parent: DataFrame) -> DataFrame:
     """Follow parents until they are roots; every pass halves the chains."""
     while True:
-        up = small(parent.select(F.col("v").alias("p"), F.col("rep").alias("pp")))
+        up = parent.select(F.col("v").alias("p"), F.col("rep").alias("pp"))
         nxt = materialise(parent.withColumnRenamed("rep", "p").join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("rep"), F.col("pp").isNotNull().alias("moved")), "parents")
         release(parent)
         parent = nxt
@@ -65,30 +67,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", cell_edges: int = C
     e = materialise(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
     kind = e.schema["a"].dataType.simpleString()
     levels: list[DataFrame] = []
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while n := e.count():
-        blocks = math.ceil(math.sqrt(n / cell_edges))
+        blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(2 * max(n / cell_edges, cores))))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
         cells = e.select("a", "b", F.least(block("a"), block("b")).alias("row"), F.greatest(block("a"), block("b")).alias("col"))
         stars = materialise(cells.groupBy("row", "col").applyInPandas(lambda p: _union_find(p), f"v {kind}, rep {kind}"), "stars")
         release(e)
-        if blocks == 1:  # a single cell: its stars are final
-            levels.append(stars)
-            break
         parent = _shorten(materialise(stars.groupBy("v").agg(F.min("rep").alias("rep")), "parents"))
-        up = small(parent.select("v", "rep"))
+        up = parent.select("v", "rep")  # the optimizer broadcasts it where its size, once written, allows
         root = lambda d, c: d.join(up.select(F.col("v").alias(c), F.col("rep").alias(f"_{c}")), c, "left").select(*[k for k in d.columns if k != c], F.coalesce(f"_{c}", c).alias(c))
         linked = root(root(stars.select(F.col("v").alias("a"), F.col("rep").alias("b")), "a"), "b").where("a <> b")
         e = materialise(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         release(stars)
         levels.append(parent)
+    release(e)
     spark = edges.sparkSession
     if not levels:
         return spark.createDataFrame([], f"v {kind}, root {kind}")
     known = levels[-1].select("v", F.col("rep").alias("root"))
     for lower in reversed(levels[:-1]):
         up = known.select(F.col("v").alias("rep"), F.col("root"))
-        known = lower.select("v", "rep").join(small(up), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")).unionByName(known)
+        known = lower.select("v", "rep").join(up, "rep", "left").select("v", F.coalesce("root", "rep").alias("root")).unionByName(known)
     known = materialise(known, "groups")
+    for level in levels:
+        release(level)
     roots = known.select(F.col("root").alias("v"), "root").distinct()
     return known.unionByName(roots)
 

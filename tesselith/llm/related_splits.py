@@ -2,17 +2,21 @@
 
 Documents are related by compiler, by address and by reprint. Borůvka's contraction: every component picks its
 lightest edge to another one, the picked edges join the persisted spanning forest and their ends become one
-component, until no edge is left. The components, stratified by size bands, are dealt to the splits
-systematically.
+component, until no edge is left. Groups are read off the stored forest: each round holds the component that a
+component became part of. The roots, stratified by size bands, are dealt to the splits systematically along the
+running size, and each band makes good what the larger bands left.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselith.plans.lineage import materialise, release
-from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
 # What stands for a compiler that is not known.
@@ -21,6 +25,9 @@ UNKNOWN = ("", "unknown", "na", "n a", "none", "null", "not known", "anonymous")
 #: Shares of the splits, in provisions.
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
+#: Groups up to which a band is dealt on the driver, and pieces in which the running size of a larger one is summed up.
+LISTED, PIECES = 1000, 256
+
 #: Sub-hubs through which the documents of one shared key are linked.
 SALT = 64
 
@@ -60,44 +67,53 @@ def relations(docs: DataFrame) -> DataFrame:
     return shared.unionByName(reprint).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "why").distinct()
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(forest edges a, b, why, round; components v, comp) by Borůvka's contraction.
+def spanning_forest(edges: DataFrame) -> list[DataFrame]:
+    """The stored forest, a table for each round: c, p (the component that c became part of, c itself for a root), a, b, why (the edge that c picked).
 
     Weights are a hash with the ends as tie-break, so they differ and the picked edges hold no circle. A round
     at least halves the components that still have an edge.
     """
-    weighted = edges.select("a", "b", "why", F.struct(F.xxhash64("a", "b"), F.col("a"), F.col("b")).alias("w"))
-    vertices = weighted.select(F.col("a").alias("v")).union(weighted.select("b")).distinct()
-    comp = materialise(vertices.select("v", F.col("v").alias("comp")), "components")
-    live = materialise(weighted.select("a", "b", "why", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "live")
+    live = materialise(edges.select("a", "b", "why", F.struct(F.xxhash64("a", "b"), F.col("a"), F.col("b")).alias("w"), F.col("a").alias("ca"), F.col("b").alias("cb")), "live")
     forest: list[DataFrame] = []
     while live.limit(1).count():
-        both = live.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "w", "a", "b", "why").union(live.select(F.col("cb"), F.col("ca"), "w", "a", "b", "why"))
-        pick = materialise(both.groupBy("c").agg(F.min_by(F.struct("o", "a", "b", "why"), "w").alias("m")).select("c", "m.*"), "picks")
-        forest.append(materialise(pick.select("a", "b", "why").distinct().withColumn("round", F.lit(len(forest))), "forest"))
-        # Two components that picked each other point at the smaller of them.
+        # Every component's lightest edge; two components that picked each other make the smaller one a root.
+        ends = F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("o")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("o")))).alias("e")
+        pick = materialise(live.select(ends, "w", "a", "b", "why").groupBy("e.c").agg(F.min_by(F.struct("e.o", "a", "b", "why"), "w").alias("m")).select("c", "m.*"), "picks")
         back = pick.select(F.col("c").alias("o"), F.col("o").alias("oo"))
-        hook = pick.select("c", "o").join(back, "o", "left").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
+        hook = pick.join(back, "o", "left").select("c", F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"), "a", "b", "why")
         hook = materialise(hook, "hooks")
-        while True:  # follow to the roots
-            up = small(hook.select(F.col("c").alias("p"), F.col("p").alias("pp")))
-            nxt = materialise(hook.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), "hooks")
+        while True:  # follow to the roots; two steps a pass, so chains become a quarter
+            up = lambda k: hook.select(F.col("c").alias(f"p{k}"), F.col("p").alias(f"p{k + 1}"))
+            nxt = hook.withColumnRenamed("p", "p1").join(up(1), "p1").join(up(2), "p2").join(up(3), "p3")
+            nxt = materialise(nxt.select("c", F.col("p4").alias("p"), "a", "b", "why", (F.col("p4") != F.col("p1")).alias("moved")), "hooks")
             release(hook)
             hook = nxt
             if not hook.where("moved").limit(1).count():
                 break
-        to = small(hook.select("c", "p"))
-        new_comp = materialise(comp.join(to, comp["comp"] == to["c"], "left").select("v", F.coalesce("p", "comp").alias("comp")), "components")
-        step = live.join(to.select(F.col("c").alias("ca"), F.col("p").alias("pa")), "ca", "left").join(to.select(F.col("c").alias("cb"), F.col("p").alias("pb")), "cb", "left")
-        new_live = materialise(step.select("a", "b", "why", "w", F.coalesce("pa", "ca").alias("ca"), F.coalesce("pb", "cb").alias("cb")).where("ca <> cb"), "live")
-        for old in (comp, live, pick, hook):
+        to = hook.select("c", "p")
+        step = live.join(to.select(F.col("c").alias("ca"), F.col("p").alias("pa")), "ca").join(to.select(F.col("c").alias("cb"), F.col("p").alias("pb")), "cb")
+        new_live = materialise(step.where("pa <> pb").select("a", "b", "why", "w", F.col("pa").alias("ca"), F.col("pb").alias("cb")), "live")
+        for old in (live, pick):
             release(old)
-        comp, live = new_comp, new_live
-    spark = edges.sparkSession
-    trees = spark.createDataFrame([], edges.select("a", "b", "why").withColumn("round", F.lit(0)).schema) if not forest else forest[0]
-    for f in forest[1:]:
-        trees = trees.unionByName(f)
-    return trees, comp
+        forest.append(hook)
+        live = new_live
+    release(live)
+    return forest
+
+
+def trees(forest: list[DataFrame]) -> DataFrame:
+    """(a, b, why, round): the edges of a stored forest that has rounds; a component is one edge more than it has edges."""
+    rounds = [f.select("a", "b", "why", F.lit(i).alias("round")).distinct() for i, f in enumerate(forest)]
+    return functools.reduce(DataFrame.unionByName, rounds)
+
+
+def roots(forest: list[DataFrame]) -> DataFrame:
+    """(v, comp): every vertex of a stored forest that has rounds with its root, from the last round to the first."""
+    known = forest[-1].select(F.col("c").alias("v"), F.col("p").alias("comp"))
+    for lower in reversed(forest[:-1]):
+        # A root of the last rounds has no edge in a later one and stands for itself.
+        known = lower.select(F.col("c").alias("v"), "p").join(known.withColumnRenamed("v", "p"), "p", "left").select("v", F.coalesce("comp", "p").alias("comp"))
+    return known
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -106,7 +122,11 @@ def groups(docs: DataFrame) -> DataFrame:
     Repeated rows are one; null doc_ids relate nothing; null, blank and unknown compilers, blank addresses and
     reprints of nothing or of the row itself relate nothing; an empty table gives an empty table.
     """
-    comp = spanning_forest(relations(docs))[1]
+    forest = spanning_forest(relations(docs))
+    if not forest:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, group_id {kind}")
+    comp = materialise(roots(forest), "roots")
     low = comp.groupBy("comp").agg(F.min("v").alias("group_id"))
     return comp.join(low, "comp").select(F.col("v").alias("doc_id"), "group_id")
 
@@ -114,11 +134,13 @@ def groups(docs: DataFrame) -> DataFrame:
 def deal(docs: DataFrame, provisions: DataFrame, shares: dict[str, float] | None = None, seed: int = 11) -> DataFrame:
     """(doc_id, group_id, n_provisions, split): all documents of a group in one split, shares counted in provisions.
 
-    Groups are ordered by size band (powers of two, large first) and by hash inside a band. Within a band the
-    group at place i goes to the split where i times its share passes an integer; the first places of every band
-    are the largest split's, so a lone huge group is trained on. A group without provisions has size 0.
+    Groups are ordered by size band (powers of two, large first) and by hash inside a band. A band's shares are what
+    the larger bands left of each split's target; its groups lie side by side on a line, in hash order, each as long
+    as it is large, and the middle of a group tells in which split's part of the line it falls. A group without
+    provisions has size 0 and counts as one document. Empty tables give an empty table.
     """
     shares = shares or SHARES
+    order = sorted(shares, key=lambda s: -shares[s])
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     sizes = provisions.where("provision_id is not null").select("doc_id", "provision_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_provisions"))
     member = materialise(
@@ -126,19 +148,46 @@ def deal(docs: DataFrame, provisions: DataFrame, shares: dict[str, float] | None
         "documents",
     )
     g = member.groupBy("group_id").agg(F.sum("n_provisions").alias("size"))
-    g = g.select("*", F.floor(F.log2(F.col("size") + 1)).alias("band"), F.xxhash64(F.lit(seed), "group_id").alias("o"), F.pmod(F.xxhash64("group_id"), F.lit(256)).alias("piece"))
-    # Places by piece: no band is sorted as a whole.
-    before = Window.partitionBy("band").orderBy("piece")
-    pieces = g.groupBy("band", "piece").agg(F.count("*").alias("n"))
-    pieces = pieces.select("band", "piece", (F.sum("n").over(before) - F.col("n")).alias("n0"))
-    place = g.withColumn("k", F.row_number().over(Window.partitionBy("band", "piece").orderBy("o", "group_id"))).join(small(pieces), ["band", "piece"]).withColumn("place", F.col("n0") + F.col("k"))
-    order = sorted(shares, key=lambda s: -shares[s])
-    column: Column = F.lit(order[0])
-    for j, name in enumerate(order[1:]):
-        shift = 0.5 * j / max(1, len(order) - 1)
-        passes = F.floor(F.col("place") * shares[name] + shift) > F.floor((F.col("place") - 1) * shares[name] + shift)
-        column = F.when(passes, name).otherwise(column)
-    return member.join(place.select("group_id", column.alias("split")), "group_id").select("doc_id", "group_id", "n_provisions", "split")
+    length = F.greatest(F.col("size"), F.lit(1))
+    g = materialise(g.select("*", length.alias("len"), F.floor(F.log2(F.col("size") + 1)).cast("int").alias("band"), F.xxhash64(F.lit(seed), "group_id").alias("o"), F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(PIECES)).alias("piece")), "related")
+    pieces = g.groupBy("band", "piece").agg(F.sum("len").alias("len"), F.sum("size").alias("size"), F.count("*").alias("n"))
+    bands: dict[int, list] = {}
+    for r in pieces.groupBy("band").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.sum("len").alias("len")).collect():  # a row for each power of two
+        bands[r.band] = [r.size, r.n, r.len]
+    listed = [b for b, (_, n, _) in bands.items() if n <= LISTED]
+    rows: dict[int, list] = {b: [] for b in listed}
+    for r in g.where(F.col("band").isin(listed)).select("band", "piece", "o", "group_id", "size", "len").collect():  # at most LISTED groups a band
+        rows[r.band].append((r.piece, r.o, r.group_id, r.size, r.len))
+    have, total, named, parts = dict.fromkeys(order, 0.0), 0, [], []
+    for band in sorted(bands, reverse=True):
+        size, _, whole = bands[band]
+        total += size
+        left = [max(0.0, total * shares[s] - have[s]) if size else shares[s] for s in order]
+        ends = list(itertools.accumulate(x / sum(left) if sum(left) else shares[s] for x, s in zip(left, order)))
+        if band in rows:
+            at = 0
+            for _, _, group, n, length_ in sorted(rows[band]):
+                s = order[min(bisect.bisect_right(ends, (at + length_ / 2) / whole), len(order) - 1)]
+                at += length_
+                have[s] += n
+                named.append((group, s))
+        else:
+            for s, lo, hi in zip(order, [0.0, *ends], ends):
+                have[s] += size * (hi - lo)
+            parts.append((band, whole, ends))
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = spark.createDataFrame(named, f"group_id {kind}, split string")
+    if parts:
+        before = Window.partitionBy("band").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        begins = pieces.select("band", "piece", F.coalesce(F.sum("len").over(before), F.lit(0)).alias("l0"))
+        inside = F.sum("len").over(Window.partitionBy("band", "piece").orderBy("o", "group_id"))
+        line = spark.createDataFrame(parts, "band int, whole bigint, ends array<double>")  # a row for each large band
+        place = g.join(F.broadcast(line), "band").withColumn("upto", inside).join(F.broadcast(begins), ["band", "piece"])  # PIECES rows a band
+        middle = (F.col("l0") + F.col("upto") - F.col("len") / 2) / F.col("whole")
+        k = F.least(F.size(F.filter("ends", lambda e: e <= middle)), F.lit(len(order) - 1))
+        known = known.unionByName(place.select("group_id", F.get(F.array(*map(F.lit, order)), k).alias("split")))
+    return member.join(known, "group_id").select("doc_id", "group_id", "n_provisions", "split")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,6 +206,29 @@ def test_entry_without_the_subpackage(monkeypatch):
     assert set(e.oracle_sql()) <= core
 
 
+def test_a_broken_subpackage_is_an_error(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    assert e._llm() is None
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: object())
+    monkeypatch.setattr(e.importlib, "import_module", lambda name: (_ for _ in ()).throw(ImportError("no regex")))
+    with pytest.raises(ImportError):
+        e._llm()
+
+
+def test_scope_deletes_its_tables(spark):
+    from tesselith.plans import lineage
+
+    with lineage.scope(spark):
+        kept = lineage.materialise(spark.range(3))
+        assert kept.count() == 3
+    fs = spark._jvm.org.apache.hadoop.fs.Path(kept._tesselith_path)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
 def test_sign_flip_over_all_groups(spark):
     r = random.Random(7)
     few = spark.createDataFrame([(f"g{i}", r.choice([0.25, -0.5, 1.0, r.random()])) for i in range(9)] + [("n", None)], "g string, d double")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tesselith.llm import phrases as ph
 from tesselith.llm.grouping import components
-from tesselith.plans.lineage import materialise
+from tesselith.plans.lineage import materialise, release
 from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
@@ -32,9 +32,12 @@ THRESHOLD = 0.6
 #: Prefix phrases that a pair must share before its group is opened.
 HITS = 6
 
-#: Entries of one bucket of the matrix, texts of one packed block, and classes of one opened piece of a group.
+#: Entries of one bucket of the matrix, texts of one packed block, classes and queries of one opened piece of a group.
 BUCKET, BLOCK, PIECE = 500_000, 50_000, 4096
 
+#: Phrases of the texts that one task compares when groups are opened.
+OPENED = 2_000_000
+
 #: Lookups that are held at once.
 HELD = 2_000_000
 
@@ -47,17 +50,17 @@ def _ceil(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(sketch, g: np.ndarray, doc: np.ndarray, n_docs: int, t: float, hits: int):
-    """Prefix phrases that some other text may hold: (phrase, text, place), and the group half of each text's key (0: none)."""
+    """Prefix phrases that some other text may hold: (phrase, text, place, level), and the group half of each text's key."""
     level = ph.commonness(sketch, g)
     order = np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (level.astype(np.uint64) << np.uint64(40)) | (g >> np.uint64(8)), kind="stable")
     g, doc, level = g[order], doc[order], level[order]
     n = np.bincount(doc, minlength=n_docs)
     place = np.arange(len(g)) - np.searchsorted(doc, np.arange(n_docs))[doc]
     keep = (place < (n - _ceil(t * n) + hits)[doc]) & (level > 0)
-    g, doc, place = g[keep], doc[keep], place[keep]
+    g, doc, place, level = g[keep], doc[keep], place[keep], level[keep]
     group = np.full(n_docs, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(group, doc, ph.mix(g ^ np.uint64(0x5851F42D4C957F2D)) >> _HALF)
-    return g, doc, place, group
+    return g, doc, place, level, group
 
 
 def _pack(token: np.ndarray, local: np.ndarray, place: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -86,16 +89,16 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.cumsum(step, dtype=np.uint32), keys[local], sizes[local].astype(np.int64), place.astype(np.int64)
 
 
-def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matrix_hits(token, key, size, place, asks, t: float, hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lookups of every query in one bucket of the matrix: (query key, group, phrases that may count).
 
-    Only groups numbered at most as the query's own are looked up, so two texts of different groups meet once.
+    Entries that do not ask are there as members only; they ask in another part of the phrase's bucket. Only groups numbered at most as the query's own are looked up, so two texts of different groups meet once.
     """
-    order = np.lexsort((key, token))
-    token, key, size, place = token[order], key[order], size[order], place[order]
+    order = np.lexsort((~asks, key, token))
+    token, key, size, place, asks = token[order], key[order], size[order], place[order], asks[order]
     keep = np.ones(len(token), bool)
     keep[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])  # copies of one class
-    token, key, size, place = token[keep], key[keep], size[keep], place[keep]
+    token, key, size, place, asks = token[keep], key[keep], size[keep], place[keep], asks[keep]
     group = key >> _HALF
     # Matrix rows of this bucket: the members of a group that hold the phrase, with the range of their sizes and places.
     new = np.ones(len(token), bool)
@@ -109,7 +112,7 @@ def _matrix_hits(token, key, size, place, t: float, hits: int) -> tuple[np.ndarr
     m_token, m_group = token[at], group[at]
     row_of = np.cumsum(new) - 1
     first = np.searchsorted(m_token, token)  # first matrix row of the phrase; rows up to the query's own qualify
-    count = row_of - first + 1
+    count = np.where(asks, row_of - first + 1, 0)
     ends = np.cumsum(count)
     held: list[tuple] = []
     n_held = lo = 0
@@ -145,11 +148,12 @@ def _count(q: np.ndarray, g: np.ndarray, n: np.ndarray | None = None) -> tuple[n
     return q[at], g[at], np.add.reduceat(n, at)
 
 
-def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple[DataFrame, DataFrame]:
-    """(texts with phrases: key, c1, c2, n, code; qualifying pairs: code of the query, group)."""
+def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(texts with phrases: key, c1, c2, n, code; qualifying pairs: code of the query, group, hits; the table behind both; partitions for whole sets)."""
     spark = texts.sparkSession
     sketch, total = ph.survey(texts, text)
     parts = ph.exchange_parts(spark, int(total * (1 - t)) + 1, BUCKET)
+    names_of, hot = ph.even_names(spark, parts), ph.HOT
     kind = texts.schema[key].dataType.simpleString()
     columns = ["bucket", "data", "key", "c1", "c2", "n", "code"]
     kinds = f"bucket int, data binary, key {kind}, c1 bigint, c2 bigint, n int, code bigint"
@@ -159,14 +163,23 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
         count = 0
 
         def flush():
-            token = np.concatenate([h[0] for h in held])
-            local, place = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            keys, sizes = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            bucket = (ph.mix(token) >> np.uint64(32)) % np.uint64(parts)
+            token, place, level = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3))
+            local, keys, sizes = (np.concatenate([h[i] for h in held]) for i in (1, 4, 5))
+            # Copies of one text in a block stand for each other.
+            one = np.zeros(len(keys), bool)
+            one[np.unique(keys, return_index=True)[1]] = True
+            keep = one[local]
+            token, place, local, split = token[keep], place[keep], local[keep], ph.hot_parts(level[keep], hot)
+            # A hot phrase is a member in every part of its bucket and asks in one.
+            at = np.repeat(np.arange(len(token)), split)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(split) - split, split)
+            asks = part == (ph.mix(keys[local[at]]) % split[at].astype(np.uint64)).astype(np.int64)
+            token, local, place = token[at], local[at], place[at].astype(np.uint16) | np.where(asks, 0, 0x8000).astype(np.uint16)
+            bucket = ph.bucket_of(token, part, parts)
             data, names = [], []
             for b in np.unique(bucket):
                 s = bucket == b
-                names.append(int(b))
+                names.append(int(names_of[b, 0]))
                 data.append(_pack((token[s] & _LOW).astype(np.uint32), local[s], place[s], keys, sizes))
             none = [pa.nulls(len(data), k) for k in (id_type, pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], columns)
@@ -180,18 +193,18 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
                 g, doc, _ = ph.phrases(all_texts[lo:hi])
                 g, doc = ph.distinct(g, doc)
                 c1, c2, size = ph.identity(g, doc, m)
-                pg, pdoc, place, group = prefix(sketch, g, doc, m, t, hits)
+                pg, pdoc, place, level, group = prefix(sketch, g, doc, m, t, hits)
                 code = (group << _HALF) | (c1 & _LOW)
                 some = np.nonzero(size)[0]
                 if not len(some):
                     continue
                 ids = b.column(0).slice(lo, m).take(pa.array(some))
-                spread = np.arange(len(some)) % parts + parts  # copies of one text spread too
+                spread = names_of[np.arange(len(some)) % parts, 1]  # copies of one text spread too
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(spread, pa.int32()), pa.nulls(len(some), pa.binary()), ids, pa.array(c1[some].view(np.int64)), pa.array(c2[some].view(np.int64)),
                      pa.array(size[some].astype(np.int32)), pa.array(code[some].view(np.int64))], columns)
-                # Places beyond 16 bits count as the last one that fits: the bound is looser, never wrong.
-                held.append((pg, pdoc + count, np.minimum(place, 65535), code, size))
+                # Places beyond 15 bits count as the last one that fits: the bound is looser, never wrong.
+                held.append((pg, pdoc + count, np.minimum(place, 0x7FFF), level, code, size))
                 count += m
                 if count > BLOCK - 10_000:
                     yield flush()
@@ -200,22 +213,21 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
             yield flush()
 
     def look_up(key_: tuple, rows: pa.Table) -> pa.Table:
-        bucket = key_[0].as_py()
-        if bucket >= parts:
+        if rows.column("data").null_count:  # texts, under their own names
             return rows
         blocks = [_unpack(d.as_py()) for d in rows.column("data")]
         token, code, size, place = (np.concatenate(x) for x in zip(*blocks))
-        q, g, n = _matrix_hits(token, code, size, place, t, hits)
+        q, g, n = _matrix_hits(token, code, size, place & 0x7FFF, place < 0x8000, t, hits)
         to = ph.mix(q) % np.uint64(parts)
         data, names = [], []
         for b in np.unique(to):
             s = to == b
-            names.append(int(b))
+            names.append(int(names_of[int(b), 0]))
             data.append(np.array([s.sum()], np.int64).tobytes() + q[s].tobytes() + g[s].astype(np.uint32).tobytes() + np.minimum(n[s], 255).astype(np.uint8).tobytes())
         none = [pa.nulls(len(data), rows.schema.field(i).type) for i in range(2, 7)]
         return pa.Table.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], names=columns)
 
-    seen = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(build, kinds).groupBy("bucket").applyInArrow(look_up, kinds)
+    seen = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(build, kinds).repartition(parts, "bucket").groupBy("bucket").applyInArrow(look_up, kinds)
     seen = materialise(seen, "matrix")
     docs = seen.where("data is null").select("key", "c1", "c2", "n", "code")
 
@@ -230,20 +242,23 @@ def qualify(texts: DataFrame, key: str, text: str, t: float, hits: int) -> tuple
         q, g, n = _count(np.concatenate(q), np.concatenate(g), np.concatenate(n))
         return pa.table({"code": q.view(np.int64), "grp": g.astype(np.int64), "hits": n})
 
-    counted = seen.where("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(decide, "code bigint, grp bigint, hits bigint")
-    return docs, counted
+    counted = seen.where("data is not null").select("bucket", "data").repartition(parts, "bucket").groupBy("bucket").applyInArrow(decide, "code bigint, grp bigint, hits bigint")
+    return docs, counted, seen, ph.exchange_parts(spark, total, OPENED)
 
 
-def open_groups(texts: DataFrame, key: str, text: str, docs: DataFrame, wanted: DataFrame, t: float) -> DataFrame:
+def open_groups(texts: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, t: float, tasks: int) -> DataFrame:
     """(a, b, common, n_a, n_b): the pairs of class representatives with a Jaccard value of at least ``t``.
 
-    ``wanted``: (code, grp). A group of many classes is opened in pieces, each of which sees all its queries.
+    ``wanted``: (code, grp). A group of many classes or queries is opened in pieces: a task holds PIECE of each at most, about.
     """
-    classes = materialise(docs.groupBy("c1", "c2", "code").agg(F.min("key").alias("rep"), F.first("n").alias("n")).withColumn("grp", F.shiftrightunsigned("code", 32)), "classes")
     opened = wanted.select("grp").distinct().join(classes.select("grp", "rep"), "grp")
-    pieces = opened.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias("pieces"))
-    member = opened.join(pieces, "grp").select("rep", "grp", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int").alias("piece"), F.lit(False).alias("asks"))
-    query = wanted.join(classes.select("code", "rep"), "code").join(pieces, "grp").select("rep", "grp", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("asks"))
+    asking = wanted.join(classes.select("code", "rep"), "code").select("grp", "rep")
+    cuts = lambda d, name: d.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PIECE)).cast("int").alias(name))
+    pieces = cuts(opened, "pieces").join(cuts(asking, "chunks"), "grp")
+    slot = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    member = opened.join(pieces, "grp").select("rep", "grp", slot("pieces").alias("piece"), every("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    query = asking.join(pieces, "grp").select("rep", "grp", every("pieces").alias("piece"), slot("chunks").alias("chunk"), F.lit(True).alias("asks"))
     roles = materialise(member.unionByName(query), "roles")
     reps = small(roles.select(F.col("rep").alias(key)).distinct())
     kind = texts.schema[key].dataType.simpleString()
@@ -289,7 +304,10 @@ def open_groups(texts: DataFrame, key: str, text: str, docs: DataFrame, wanted:
         t_ = rows.schema.field("rep").type
         return pa.table({"a": pa.array(cols[0], t_), "b": pa.array(cols[1], t_), "common": pa.array(cols[2], pa.int64()), "n_a": pa.array(cols[3], pa.int64()), "n_b": pa.array(cols[4], pa.int64())})
 
-    return whole.join(roles, "rep").groupBy("grp", "piece").applyInArrow(compare, f"a {kind}, b {kind}, common bigint, n_a bigint, n_b bigint").distinct()
+    both = whole.repartition(tasks, "rep").join(roles.repartition(tasks, "rep"), "rep").repartition(tasks, "grp", "piece", "chunk")
+    links = materialise(both.groupBy("grp", "piece", "chunk").applyInArrow(compare, f"a {kind}, b {kind}, common bigint, n_a bigint, n_b bigint").distinct(), "links")
+    release(roles)
+    return links
 
 
 def similar(texts: DataFrame, key: str = "provision_id", text: str = "text", t: float = THRESHOLD, hits: int = HITS) -> tuple[DataFrame, DataFrame]:
@@ -300,26 +318,32 @@ def similar(texts: DataFrame, key: str = "provision_id", text: str = "text", t:
     by its smallest key. An empty table gives empty tables; extra columns are ignored.
     """
     rows = texts.where(F.col(key).isNotNull()).select(F.col(key), F.col(text))
-    docs, counted = qualify(rows, key, text, t, hits)
+    docs, counted, seen, tasks = qualify(rows, key, text, t, hits)
     # Sets that have fewer than HITS phrases to share need only these.
-    least = docs.groupBy("code").agg(F.min("n").alias("n"))
-    short = materialise(least.where(F.col("n") < hits / t), "short")
-    wanted = counted.where(F.col("hits") >= hits).select("code", "grp").unionByName(
-        counted.where(F.col("hits") < hits).join(small(short), "code", "left_semi").select("code", "grp"))
-    links = open_groups(rows, key, text, docs, materialise(wanted, "wanted"), t)
-    rep = docs.groupBy("c1", "c2").agg(F.min("key").alias("rep"))
-    members = docs.join(rep, ["c1", "c2"]).select(F.col("key").alias(key), "rep").distinct()
-    return materialise(links, "links"), materialise(members, "members")
+    classes = materialise(docs.groupBy("c1", "c2", "code").agg(F.min("key").alias("rep"), F.min("n").alias("n")).withColumn("grp", F.shiftrightunsigned("code", 32)), "classes")
+    short = classes.where(F.col("n") < hits / t).select("code").distinct()
+    wanted = counted.where(F.col("hits") >= hits).select("code", "grp").unionByName(counted.where(F.col("hits") < hits).join(short, "code", "left_semi").select("code", "grp"))
+    wanted = materialise(wanted, "wanted")
+    links = open_groups(rows, key, text, classes, wanted, t, tasks)
+    rep = classes.groupBy("c1", "c2").agg(F.min("rep").alias("rep"))
+    members = materialise(docs.join(rep, ["c1", "c2"]).select(F.col("key").alias(key), "rep").distinct(), "members")
+    for done in (seen, classes, wanted):
+        release(done)
+    return links, members
+
+
+def expand(links: DataFrame, members: DataFrame, end: str, name: str, key: str = "key", most: int = PIECE) -> DataFrame:
+    """``links`` with ``name``: every member (key, rep) of the class at ``end``, whose column goes. A class of more than ``most`` members is joined in pieces."""
+    big = members.groupBy("rep").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("_n")).where("_n > 1")
+    cut = members.join(big, "rep", "left").select(F.col("rep").alias(end), F.col(key).alias(name), F.pmod(F.xxhash64(key), F.coalesce("_n", F.lit(1))).cast("int").alias("_s"))
+    spread = links.join(big.withColumnRenamed("rep", end), end, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return spread.join(cut, [end, "_s"]).drop(end, "_s")
 
 
 def pairs(links: DataFrame, members: DataFrame, key: str = "provision_id") -> DataFrame:
     """Every pair of records (key_a < key_b) of linked classes and of one class."""
-    one = members.select(F.col(key).alias("x"), F.col("rep").alias("a"))
-    two = members.select(F.col(key).alias("y"), F.col("rep").alias("b"))
-    several = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"))
-    inside = one.join(several, "a").join(two, F.col("a") == F.col("b")).where("x < y")
-    across = links.select("a", "b").join(one, "a").join(two, "b")
-    both = across.select("x", "y").unionByName(inside.select("x", "y"))
+    inside = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("same"))
+    both = expand(expand(links.select("a", "b", F.lit(False).alias("same")).unionByName(inside), members, "a", "x", key), members, "b", "y", key).where("not same or x < y")
     return both.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"))
 
 
@@ -345,12 +369,20 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = {
-    "p7_found": """
-WITH one AS (SELECT provision_id, regexp_extract_all(lower(min(text)), '[a-z0-9]+') w FROM corpus WHERE provision_id IS NOT NULL GROUP BY 1),
+_PAIRS = """
+WITH RECURSIVE one AS (SELECT provision_id, regexp_extract_all(lower(min(text)), '[a-z0-9]+') w FROM corpus WHERE provision_id IS NOT NULL GROUP BY 1),
 p AS (SELECT provision_id, unnest(list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)])) g FROM one WHERE len(w) >= 30),
 n AS (SELECT provision_id, count(*) n FROM p GROUP BY 1),
-c AS (SELECT x.provision_id a, y.provision_id b, count(*) c FROM p x JOIN p y ON x.g = y.g AND x.provision_id < y.provision_id GROUP BY 1, 2)
-SELECT a AS provision_id_a, b AS provision_id_b FROM c JOIN n na ON na.provision_id = a JOIN n nb ON nb.provision_id = b WHERE c.c >= 0.6 * (na.n + nb.n - c.c)
+c AS (SELECT x.provision_id a, y.provision_id b, count(*) c FROM p x JOIN p y ON x.g = y.g AND x.provision_id < y.provision_id GROUP BY 1, 2),
+f AS (SELECT a, b, c.c = na.n AND c.c = nb.n AS same FROM c JOIN n na ON na.provision_id = a JOIN n nb ON nb.provision_id = b WHERE c.c >= 0.6 * (na.n + nb.n - c.c))
+"""
+
+SQL = {
+    "p7_found": _PAIRS + "SELECT a AS provision_id_a, b AS provision_id_b FROM f",
+    "p7_groups": _PAIRS
+    + """, m AS (SELECT n.provision_id v, coalesce(min(f.a), n.provision_id) rep FROM n LEFT JOIN f ON f.b = n.provision_id AND f.same GROUP BY n.provision_id), s AS (SELECT rep, count(*) k FROM m GROUP BY 1),
+l AS (SELECT DISTINCT x.rep a, y.rep b FROM f JOIN m x ON x.v = f.a JOIN m y ON y.v = f.b WHERE NOT f.same), t AS (SELECT a, b FROM l UNION SELECT b, a FROM l), g AS (SELECT a, count(DISTINCT b) k FROM t GROUP BY 1),
+r(v, w) AS (SELECT a, a FROM t UNION SELECT r.v, t.b FROM r JOIN t ON t.a = r.w), q AS (SELECT v, min(w) w FROM r GROUP BY 1)
+SELECT m.v AS provision_id, m.rep AS class_id, s.k AS class_size, coalesce(q.w, m.rep) AS group_id, coalesce(g.k, 0) AS n_links FROM m JOIN s ON s.rep = m.rep LEFT JOIN g ON g.a = m.rep LEFT JOIN q ON q.v = m.rep WHERE s.k > 1 OR g.k IS NOT NULL
 """,
 }

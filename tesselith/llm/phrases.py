@@ -1,9 +1,9 @@
 """Phrases (runs of five words) of whole texts as 48-bit numbers, and how common they are.
 
 The words of a text are the maximal runs of a-z and 0-9 after lower-casing. A batch of texts is hashed at once:
-polynomial prefix sums give every word a number, five successive numbers give a phrase. A counting sketch with a
-fixed number of cells says roughly how many texts hold a phrase; it only orders phrases, so its errors cost time
-and never a result.
+polynomial prefix sums give every word a number, five successive numbers give a phrase. A counting sketch, with about
+a cell for each phrase up to a bound, says roughly how many texts hold a phrase; it only orders phrases and splits
+hot ones, so its errors cost time and never a result.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 WORDS = 5
 MIN_WORDS = 30
 
-#: Cells of the sketch (one byte each once it is merged), and rows in which they travel.
-SKETCH_CELLS, SKETCH_SLICES = 1 << 24, 64
+#: Least and most cells of the sketch (one byte each once it is merged: 64 MB at most), and rows in which they travel.
+LEAST_CELLS, MOST_CELLS, SKETCH_SLICES = 1 << 20, 1 << 26, 64
+
+#: Texts that may share a phrase before its bucket is split.
+HOT = 4096
 
 #: Characters and texts hashed at once; the number of a text in its chunk and a phrase fit in 64 bits.
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 60_000
@@ -85,20 +88,38 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _runs(w: np.ndarray, n: int) -> np.ndarray:
+    """A number for every run of ``n`` successive words."""
+    k = np.uint64(0xD6E8FEB86659FD93)
+    m = len(w) - n + 1
+    g = w[:m].copy()
+    for i in range(1, n):
+        g = g * k + w[i : m + i]
+    return g
+
+
 def phrases(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(phrases in order of place, index of their text, words of each text); texts under MIN_WORDS words have none."""
+    return phrases_and_turns(texts, False)[:3]
+
+
+def phrases_and_turns(texts: list[str | None], turns: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``phrases``, and for each whether its first or last four words stand elsewhere in its text too, so that the text can go on in two ways there."""
     w, doc = word_hashes(texts)
     n_words = np.bincount(doc, minlength=len(texts))
     if len(w) < WORDS:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), n_words
-    k = np.uint64(0xD6E8FEB86659FD93)
-    m = len(w) - WORDS + 1
-    g = w[:m].copy()
-    for i in range(1, WORDS):
-        g = g * k + w[i : m + i]
-    first = doc[:m]
+        return np.empty(0, np.uint64), np.empty(0, np.int64), n_words, np.empty(0, bool)
+    first = doc[: len(w) - WORDS + 1]
     ok = (first == doc[WORDS - 1 :]) & (n_words[first] >= MIN_WORDS)
-    return mix(g[ok]) >> np.uint64(16), first[ok], n_words
+    g = mix(_runs(w, WORDS)[ok]) >> np.uint64(16)
+    if not turns:
+        return g, first[ok], n_words, np.empty(0, bool)
+    own = doc[: len(w) - WORDS + 2]
+    four = (own.astype(np.uint64) << _BITS) | (mix(_runs(w, WORDS - 1)) >> np.uint64(16))
+    four[own != doc[WORDS - 2 :]] = np.uint64(0xFFFFFFFFFFFFFFFF)  # runs over two texts
+    run = np.sort(four)
+    twice = np.isin(four, np.unique(run[1:][run[1:] == run[:-1]]))
+    return g, first[ok], n_words, (twice[:-1] | twice[1:])[ok]
 
 
 def distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +156,16 @@ def levels(cells: np.ndarray) -> np.ndarray:
     return np.where(cells <= 1, 0, np.minimum(255, 10 * np.log2(np.maximum(cells, 2)))).astype(np.uint8)
 
 
-def survey(texts: DataFrame, text: str = "text", cells: int = SKETCH_CELLS) -> tuple[Broadcast, int]:
-    """One scan of all texts: (the sketch of phrase counts as a broadcast, number of phrases).
+def survey(texts: DataFrame, text: str = "text", cells: int | None = None) -> tuple[Broadcast, int]:
+    """Two scans of all texts: (the sketch of phrase counts as a broadcast, number of phrases).
 
-    The sketch has a fixed size whatever the corpus; the number sizes the later exchanges.
+    The sketch has a cell for about each phrase, but at most MOST_CELLS: beyond, cells are shared and only common phrases stand
+    out. The number sizes the later exchanges.
     """
     spark = texts.sparkSession
+    if cells is None:
+        chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // 6).bit_length()))
     width = cells // SKETCH_SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +204,28 @@ def exchange_parts(spark: SparkSession, n: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
 
 
+def even_names(spark: SparkSession, parts: int) -> np.ndarray:
+    """(parts, 2): two names for every bucket such that an exchange by name over ``parts`` partitions puts both, and no others, into one."""
+    each = 20
+    while True:
+        many = spark.range(parts * each).select(F.col("id").cast("int").alias("name"))
+        held = many.groupBy(F.pmod(F.hash("name"), F.lit(parts)).alias("part")).agg(F.slice(F.sort_array(F.collect_list("name")), 1, 2).alias("names"))
+        names = {r.part: r.names for r in held.collect() if len(r.names) == 2}  # a row for each bucket
+        if len(names) == parts:
+            return np.array([names[i] for i in range(parts)], np.int64)
+        each *= 2
+
+
+def hot_parts(level: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many parts a phrase's bucket is split, by the level of the phrase: one for each ``hot`` texts, as a power of two."""
+    return np.exp2(np.maximum(0, np.ceil(level / 10 - np.log2(hot)))).astype(np.int64)
+
+
+def bucket_of(g: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of a phrase and one of its parts."""
+    return ((mix(g + part.astype(np.uint64) * _P) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 def commonness(sketch: Broadcast, g: np.ndarray) -> np.ndarray:
     """The level of every phrase: 0 only if no other text holds it."""
     cells = np.frombuffer(sketch.value, np.uint8)

@@ -358,6 +358,33 @@ def test_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 30
 
 
+def test_hot_phrases_groups_and_classes_are_split(spark, monkeypatch):
+    """A family of near-copies and copies, with every bound so small that all of it is split, equals brute force."""
+    monkeypatch.setattr(phrases, "HOT", 4)
+    monkeypatch.setattr(neardup, "PIECE", 3)
+    monkeypatch.setattr(neardup.expand, "__defaults__", ("key", 3))
+    r = random.Random(6)
+    base = [r.choice(WORDS) + str(r.randrange(60)) for _ in range(60)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randrange(3)):
+            w[r.randrange(60)] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    rows = [(f"k{i:03}", t) for i, t in enumerate(texts)]
+    got = [(x.provision_id_a, x.provision_id_b) for x in neardup.pairs(*neardup.similar(spark.createDataFrame(rows, "provision_id string, text string"))).collect()]
+    s = {k: phrase_set(t) for k, t in rows}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_buckets_fill_partitions_evenly(spark):
+    names = phrases.even_names(spark, 7)
+    df = spark.createDataFrame([(int(x),) for x in names.ravel()], "bucket int").repartition(7, "bucket").select("bucket", phrases.F.spark_partition_id().alias("p"))
+    at = {r.bucket: r.p for r in df.collect()}
+    assert [at[int(a)] == at[int(b)] == i for i, (a, b) in enumerate(names)] == [True] * 7
+
+
 def test_pairs_of_nothing(spark):
     links, members = neardup.similar(spark.createDataFrame([("a", "too short")], "provision_id string, text string"))
     assert neardup.pairs(links, members).count() == 0

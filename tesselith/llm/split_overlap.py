@@ -1,11 +1,15 @@
 """Problem 2: provisions of evaluation documents that recur in training documents.
 
-Winnowing fingerprints. The phrases of a text, each at its first place, are ordered from rare to common; of every
-window of two successive phrases the rarer is a fingerprint. Training texts give all their fingerprints, evaluation texts
-those of their disjoint windows. At least 80 % of an evaluation text's phrases must be found, so at most
-B = floor(n / 5) are missing, each spoils one disjoint window, and among any B + k windows k are whole: only the
-B + k rarest are looked up, and k of them must meet in a training text that is long enough. Candidates are then aligned: seeds are chained
-collinearly, the chain is extended phrase by phrase, and the whole sets decide.
+Winnowing fingerprints. Phrases are ordered from rare to common; of two phrases that follow each other the rarer is a
+fingerprint. Training texts give all their fingerprints, and each phrase whose first or last four words stand elsewhere
+in the text too. Evaluation texts give the fingerprints of disjoint pairs of phrases that follow each other and stand
+nowhere before. If a training text has both phrases of such a pair, they follow each other there too, or the four words
+between them stand at two places: the pair's fingerprint is given either way. At least 80 % of an evaluation text's
+phrases must be found, so at most B = floor(n / 5) are missing, each spoils one pair, and among any B + k pairs k are
+whole: only the B + k rarest are looked up, and k of them must meet in a training text that is long enough. Texts that
+repeat themselves so much that they have no B + 1 pairs are looked up by all their phrases in a second pass. Candidates
+are then aligned: seeds are chained collinearly and the chain is extended phrase by phrase; where it covers too little,
+whole sets decide.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselith.llm import phrases as ph
+from tesselith.llm.neardup import expand
 from tesselith.llm.proportions import plain
-from tesselith.plans.lineage import materialise
+from tesselith.plans.lineage import materialise, release
 from tesselith.plans.sizing import small
 from tesselith.sources.tables import table
 
@@ -50,23 +55,27 @@ def fingerprints(keys: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.
     return np.unique(at[doc[: len(view)] == doc[window - 1 :]])
 
 
-def probes(keys: np.ndarray, doc: np.ndarray, n_docs: int, contained: float = CONTAINED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(places to look up, meetings asked of each text); every phrase of a text stands once in ``keys``."""
+def probes(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n_docs: int, contained: float = CONTAINED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(indices to look up, meetings asked of each text); a text that asks for 0 has phrases, but too few windows.
+
+    Every phrase of a text stands once in ``keys``, by its first ``place``; a window is one phrase, or two whose places follow each other.
+    """
     count = np.bincount(doc, minlength=n_docs)
-    first = np.searchsorted(doc, np.arange(n_docs))
-    windows = -(-count // window)  # the last one may be shorter
     missing = np.floor((1 - contained) * count + 1e-9).astype(np.int64)
-    asked = np.clip(windows - missing, 1, MEETINGS)
-    owner = np.repeat(np.arange(n_docs), windows)
-    if not len(owner):
-        return np.empty(0, np.int64), asked
-    nth = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n_docs))[owner]
-    base = first[owner] + nth * window
-    last = (first + count - 1)[owner]
-    places = np.minimum(base[:, None] + np.arange(window), last[:, None])
-    best = places[np.arange(len(base)), keys[places].argmin(axis=1)]
+    if window == 1:
+        start = best = np.arange(len(keys))
+    else:
+        follows = np.zeros(len(keys), bool)
+        follows[1:] = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + 1)
+        begin = np.maximum.accumulate(np.where(follows, 0, np.arange(len(keys)))) if len(keys) else np.empty(0, np.int64)
+        start = np.nonzero(((np.arange(len(keys)) - begin) % 2 == 0)[:-1] & follows[1:])[0]
+        best = start + (keys[start + 1] < keys[start])
+    owner = doc[start]
+    windows = np.bincount(owner, minlength=n_docs)
+    asked = np.where(count > 0, np.clip(windows - missing, 0, MEETINGS), 0)
     best = best[np.lexsort((keys[best], owner))]
-    return best[nth < (missing + asked)[owner]], asked
+    nth = np.arange(len(best)) - np.searchsorted(owner, np.arange(n_docs))[owner]
+    return best[(nth < (missing + asked)[owner]) & (asked[owner] > 0)], asked
 
 
 def _pack(token: np.ndarray, local: np.ndarray, codes: np.ndarray, asked: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -149,52 +158,69 @@ def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), np.frombuffer(raw, np.uint8, m, 8 * m).astype(np.int64), np.frombuffer(raw, np.uint8, m, 9 * m)
 
 
-def candidates(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame, DataFrame]:
-    """``texts``: key, text, asks (in an evaluation split). (texts with phrases: key, asks, c1, c2, code; candidates: code_a, code_b)."""
+def candidates(texts: DataFrame, contained: float = CONTAINED, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``texts``: key, text, asks (in an evaluation split). (texts with phrases: key, asks, c1, c2, code, wide; candidates: code_a, code_b; the table behind both).
+
+    ``wide`` are evaluation texts that had too few windows and were not looked up.
+    """
     spark = texts.sparkSession
     sketch, total = ph.survey(texts, "text")
     parts = ph.exchange_parts(spark, total // 3 + 1, BUCKET)
+    names_of, hot = ph.even_names(spark, parts), ph.HOT
     kind = texts.schema["key"].dataType.simpleString()
-    columns = ["bucket", "data", "key", "asks", "c1", "c2", "code"]
-    kinds = f"bucket int, data binary, key {kind}, asks boolean, c1 bigint, c2 bigint, code bigint"
+    columns = ["bucket", "data", "key", "asks", "c1", "c2", "code", "wide"]
+    kinds = f"bucket int, data binary, key {kind}, asks boolean, c1 bigint, c2 bigint, code bigint, wide boolean"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
-            token, local, codes, asked, sizes = (np.concatenate([h[i] for h in held]) for i in range(5))
-            bucket = (ph.mix(token) >> np.uint64(32)) % np.uint64(parts)
-            names = [int(b) for b in np.unique(bucket)]
-            data = [_pack((token[s] & _LOW).astype(np.uint32), local[s], codes, asked, sizes) for s in (bucket == np.uint64(b) for b in names)]
-            none = [pa.nulls(len(data), k) for k in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], columns)
+            token, local, codes, asked, sizes, level = (np.concatenate([h[i] for h in held]) for i in range(6))
+            # Copies of one text in a block stand for each other.
+            same = np.stack([(codes << np.uint64(32)) | sizes.astype(np.uint64), (asked > 0).astype(np.uint64)])
+            one = np.zeros(len(codes), bool)
+            one[np.unique(same, axis=1, return_index=True)[1]] = True
+            keep = one[local]
+            token, local, split = token[keep], local[keep], ph.hot_parts(level[keep], hot)
+            # A hot phrase of a training text is in every part of its bucket, one of an evaluation text in a single part.
+            asks = asked[local] > 0
+            own = (ph.mix(codes[local]) % split.astype(np.uint64)).astype(np.int64)
+            times = np.where(asks, 1, split)
+            at = np.repeat(np.arange(len(token)), times)
+            part = np.where(asks[at], own[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
+            token, local = token[at], local[at]
+            bucket = ph.bucket_of(token, part, parts)
+            held_in = [int(b) for b in np.unique(bucket)]
+            data = [_pack((token[s] & _LOW).astype(np.uint32), local[s], codes, asked, sizes) for s in (bucket == b for b in held_in)]
+            none = [pa.nulls(len(data), k) for k in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array([int(names_of[b, 0]) for b in held_in], pa.int32()), pa.array(data, pa.binary()), *none], columns)
 
         for b in batches:
             id_type = b.schema.field(0).type
             all_texts, all_asks = b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), bool)
             for lo, hi in ph.chunks(all_texts):
                 m = hi - lo
-                g, doc, _ = ph.phrases(all_texts[lo:hi])
+                g, doc, _, turns = ph.phrases_and_turns(all_texts[lo:hi])
                 c1, c2, size = ph.identity(*ph.distinct(g, doc), m)
                 code = c1 & _LOW  # equal codes of different sets only add candidates
                 some = np.nonzero(size)[0]
                 if not len(some):
                     continue
-                at = ph.firsts(g, doc)
-                g, doc = g[at], doc[at]
                 keys, asks = _rank_keys(sketch, g), all_asks[lo:hi]
-                trains, evals = ~asks[doc], asks[doc]
-                t_at = np.nonzero(trains)[0][fingerprints(keys[trains], doc[trains])]
-                q_at, asked = probes(keys[evals], doc[evals], m, contained)
-                q_at = np.nonzero(evals)[0][q_at]
-                at = np.concatenate([t_at, q_at])
-                at = at[keys[at] >> np.uint64(56) > 0]  # a phrase of one text alone meets nothing
+                trains, first = np.nonzero(~asks[doc])[0], ph.firsts(g, doc)
+                first = first[asks[doc[first]]]
+                found, asked = probes(keys[first], doc[first], first, m, contained, window)
+                given = np.zeros(len(g), bool)
+                given[trains[fingerprints(keys[trains], doc[trains], window)]] = True
+                given[trains] |= turns[trains]
+                given[first[found]] = True
+                at = np.nonzero(given & (keys >> np.uint64(56) > 0))[0]  # a phrase of one text alone meets nothing
                 ids = b.column(0).slice(lo, m).take(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(some)) % parts + parts, pa.int32()), pa.nulls(len(some), pa.binary()), ids, pa.array(asks[some]), pa.array(c1[some].view(np.int64)),
-                     pa.array(c2[some].view(np.int64)), pa.array(code[some].view(np.int64))], columns)
-                held.append((g[at], doc[at] + count, code, np.where(asks, asked, 0), size))
+                    [pa.array(names_of[np.arange(len(some)) % parts, 1], pa.int32()), pa.nulls(len(some), pa.binary()), ids, pa.array(asks[some]), pa.array(c1[some].view(np.int64)),
+                     pa.array(c2[some].view(np.int64)), pa.array(code[some].view(np.int64)), pa.array(asks[some] & (asked[some] == 0))], columns)
+                held.append((g[at], doc[at] + count, code, np.where(asks, asked, 0), size, (keys[at] >> np.uint64(56)).astype(np.uint8)))
                 count += m
                 if count > BLOCK - 10_000:
                     yield flush()
@@ -203,7 +229,7 @@ def candidates(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFram
             yield flush()
 
     def meet(key_: tuple, rows: pa.Table) -> pa.Table:
-        if key_[0].as_py() >= parts:
+        if rows.column("data").null_count:  # texts, under their own names
             return rows
         token, code, asked, size = (np.concatenate(x) for x in zip(*[_unpack(d.as_py()) for d in rows.column("data")]))
         keys, n = _meet(token, code, asked, size, contained)
@@ -215,12 +241,13 @@ def candidates(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFram
         q = keys >> np.uint64(32)
         need = ask[np.searchsorted(ask_code, q.astype(np.uint32))] if len(q) else np.empty(0, np.uint8)
         to = ph.mix(q) % np.uint64(parts)
-        names = [int(b) for b in np.unique(to)]
-        data = [_pack_pairs(keys[s], n[s], need[s]) for s in (to == np.uint64(b) for b in names)]
-        none = [pa.nulls(len(data), rows.schema.field(i).type) for i in range(2, 7)]
-        return pa.Table.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary()), *none], names=columns)
+        held_in = [int(b) for b in np.unique(to)]
+        data = [_pack_pairs(keys[s], n[s], need[s]) for s in (to == np.uint64(b) for b in held_in)]
+        none = [pa.nulls(len(data), rows.schema.field(i).type) for i in range(2, 8)]
+        return pa.Table.from_arrays([pa.array([int(names_of[b, 0]) for b in held_in], pa.int32()), pa.array(data, pa.binary()), *none], names=columns)
 
-    seen = materialise(texts.select("key", "text", "asks").mapInArrow(build, kinds).groupBy("bucket").applyInArrow(meet, kinds), "fingerprints")
+    packed = texts.select("key", "text", "asks").mapInArrow(build, kinds).repartition(parts, "bucket")
+    seen = materialise(packed.groupBy("bucket").applyInArrow(meet, kinds), "fingerprints")
 
     def decide(key_: tuple, rows: pa.Table) -> pa.Table:
         keys, n, asked = (np.concatenate(x) for x in zip(*[_unpack_pairs(d.as_py()) for d in rows.column("data")]))
@@ -231,8 +258,8 @@ def candidates(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFram
         keys = keys[at][ok]
         return pa.table({"code_a": (keys >> np.uint64(32)).view(np.int64), "code_b": (keys & _LOW).view(np.int64)})
 
-    met = seen.where("data is not null").select("bucket", "data").groupBy("bucket").applyInArrow(decide, "code_a bigint, code_b bigint")
-    return seen.where("data is null").select("key", "asks", "c1", "c2", "code"), met
+    met = seen.where("data is not null").select("bucket", "data").repartition(parts, "bucket").groupBy("bucket").applyInArrow(decide, "code_a bigint, code_b bigint")
+    return seen.where("data is null").select("key", "asks", "c1", "c2", "code", "wide"), met, seen
 
 
 def chain(seeds_a: np.ndarray, seeds_b: np.ndarray) -> np.ndarray:
@@ -252,17 +279,17 @@ def chain(seeds_a: np.ndarray, seeds_b: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], np.int64)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """(seeds in the chain, share of ``a``'s places covered by the extended chain); a and b are phrases in order of place."""
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
+    """(seeds in the chain, which of ``a``'s places the extended chain covers); a and b are phrases in order of place."""
     zero = np.zeros(max(len(a), len(b)), np.int64)
     fa, fb = fingerprints(a, zero[: len(a)]), fingerprints(b, zero[: len(b)])
+    covered = np.zeros(len(a), bool)
     where = {int(x): int(i) for i, x in zip(fb[::-1], b[fb][::-1])}  # the first place of each
     pairs = [(int(i), where[int(x)]) for i, x in zip(fa, a[fa]) if int(x) in where]
     if not pairs:
-        return 0, 0.0
+        return 0, covered
     sa, sb = (np.array(x) for x in zip(*pairs))
     kept = chain(sa, sb)
-    covered = np.zeros(len(a), bool)
     for i, j in zip(sa[kept], sb[kept]):
         if covered[i]:
             continue
@@ -273,7 +300,18 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
         same = a[i - m : i][::-1] == b[j - m : j][::-1]
         left = m if same.all() else int(same.argmin())
         covered[i - left : i + right] = True
-    return len(kept), float(covered.mean())
+    return len(kept), covered
+
+
+def contains(a: np.ndarray, b: np.ndarray, contained: float) -> tuple[int, int, int, float] | None:
+    """(phrases of a, those known to be in b, seeds, share of a's places in the chain) if b holds enough of a; sets decide where the chain falls short."""
+    seeds, covered = align(a, b)
+    mine = np.unique(a)
+    need = contained * len(mine) - 1e-9
+    common = len(np.unique(a[covered]))
+    if common < need:
+        common = int(np.isin(mine, np.unique(b), assume_unique=True).sum())
+    return (len(mine), common, seeds, float(covered.mean())) if common >= need else None
 
 
 def overlaps(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame, DataFrame]:
@@ -282,10 +320,16 @@ def overlaps(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame,
     ``texts``: key, text, asks (true: evaluation, false: training; null rows are left out). Texts under 30 words
     and null or blank ones have no phrases; a key delivered twice is one record; null keys are left out; records
     of one side with equal sets of phrases are one class, named by its smallest key; empty tables give empty
-    tables.
+    tables. ``common`` counts the phrases known to be shared when the pair was accepted.
     """
     rows = texts.where("key is not null and asks is not null").select("key", "text", "asks")
-    docs, met = candidates(rows, contained)
+    docs, met, seen = candidates(rows, contained)
+    met = materialise(met, "met")
+    again = None
+    wide = docs.where("wide").select("key").distinct()
+    if wide.limit(1).count():  # texts that repeat themselves, by all their phrases
+        _, more, again = candidates(rows.join(wide, "key", "left_semi").where("asks").unionByName(rows.where("not asks")), contained, 1)
+        met = met.unionByName(more).distinct()
     classes = materialise(docs.groupBy("asks", "c1", "c2", "code").agg(F.min("key").alias("rep")), "classes")
     side = lambda asks, s: classes.where(F.col("asks") == asks).select(F.col("code").alias(f"code_{s}"), F.col("rep").alias(f"rep_{s}"))
     todo = materialise(met.join(side(True, "a"), "code_a").join(side(False, "b"), "code_b").select("rep_a", "rep_b"), "candidates")
@@ -305,22 +349,20 @@ def overlaps(texts: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = [], []
-            for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"))):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                sa = np.unique(a)
-                common = int(np.isin(sa, np.unique(b), assume_unique=True).sum())
-                if common >= contained * len(sa) - 1e-9:
-                    keep.append(i)
-                    out.append((len(sa), common, *align(a, b)))
-            cols = list(zip(*out)) if out else [[]] * 4
+            got = [contains(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), contained) for x, y in zip(batch.column("a"), batch.column("b"))]
+            keep = [i for i, x in enumerate(got) if x]
+            cols = list(zip(*[got[i] for i in keep])) if keep else [[]] * 4
             ids = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("rep_a", "rep_b")]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64())))], ["rep_a", "rep_b", "n_a", "common", "seeds", "coverage"])
 
     found = both.select("rep_a", "rep_b", "a", "b").mapInArrow(compare, f"rep_a {kind}, rep_b {kind}, n_a bigint, common bigint, seeds bigint, coverage double")
-    rep = docs.groupBy("asks", "c1", "c2").agg(F.min("key").alias("rep"))
-    members = docs.join(rep, ["asks", "c1", "c2"]).select("key", "asks", "rep").distinct()
-    return materialise(found, "overlaps"), materialise(members, "members")
+    found = materialise(found, "overlaps")
+    rep = classes.groupBy("asks", "c1", "c2").agg(F.min("rep").alias("rep"))
+    members = materialise(docs.join(rep, ["asks", "c1", "c2"]).select("key", "asks", "rep").distinct(), "members")
+    for done in (seen, met, again, classes, todo, sets):
+        if done is not None:
+            release(done)
+    return found, members
 
 
 def corpus_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,14 +373,14 @@ def corpus_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.join(small(plan), "doc_id").select(F.col("provision_id").alias("key"), "text", (F.col("split") != "train").alias("asks"), "split", plain(F.col("nation")).alias("nation"))
 
 
-def _members(members: DataFrame, asks: bool, s: str) -> DataFrame:
-    return members.where(F.col("asks") == asks).select(F.col("key").alias(f"key_{s}"), F.col("rep").alias(f"rep_{s}"))
+def _members(members: DataFrame, asks: bool) -> DataFrame:
+    return members.where(F.col("asks") == asks).select("key", "rep")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of an evaluation provision and a training provision that holds at least 80 % of its phrases."""
     found, members = overlaps(corpus_by_split(spark, sf_dir))
-    both = found.select("rep_a", "rep_b").join(_members(members, True, "a"), "rep_a").join(_members(members, False, "b"), "rep_b")
+    both = expand(expand(found.select("rep_a", "rep_b"), _members(members, True), "rep_a", "key_a"), _members(members, False), "rep_b", "key_b")
     return both.select(F.least("key_a", "key_b").alias("provision_id_a"), F.greatest("key_a", "key_b").alias("provision_id_b")).distinct()
 
 
@@ -346,8 +388,8 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and nation: evaluation provisions, those that recur in training, pairs, and how much of them the alignment covers."""
     source = corpus_by_split(spark, sf_dir)
     found, members = overlaps(source)
-    per_rep = found.join(_members(members, False, "b").groupBy("rep_b").agg(F.count("*").alias("copies")), "rep_b").groupBy("rep_a").agg(F.sum("copies").alias("n_pairs"), F.max("coverage").alias("coverage"))
-    per_key = _members(members, True, "a").join(per_rep, "rep_a").select(F.col("key_a").alias("key"), "n_pairs", "coverage")
+    per_rep = found.join(_members(members, False).groupBy(F.col("rep").alias("rep_b")).agg(F.count("*").alias("copies")), "rep_b").groupBy("rep_a").agg(F.sum("copies").alias("n_pairs"), F.max("coverage").alias("coverage"))
+    per_key = _members(members, True).withColumnRenamed("rep", "rep_a").join(per_rep, "rep_a").select("key", "n_pairs", "coverage")
     asked = source.where("asks").select("key", "split", "nation").distinct()
     return asked.join(per_key, "key", "left").groupBy("split", "nation").agg(
         F.count("*").alias("n_provisions"), F.count("n_pairs").alias("n_overlapping"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.avg("coverage").alias("mean_coverage"))

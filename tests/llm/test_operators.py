@@ -88,8 +88,40 @@ def test_overlap_of_nothing(spark):
 def test_chain_is_collinear():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert list(split_overlap.chain(np.array([0, 1, 2, 3]), np.array([5, 1, 2, 3]))) == [1, 2, 3]
-    assert split_overlap.align(a, a) == (2, 1.0) or split_overlap.align(a, a)[1] == 1.0
-    assert split_overlap.align(a, a + np.uint64(9))[1] == 0.0
+    assert split_overlap.align(a, a)[1].all() and not split_overlap.align(a, a + np.uint64(9))[1].any()
+    assert split_overlap.contains(a, a, 0.8) == (5, 5, split_overlap.align(a, a)[0], 1.0) and split_overlap.contains(a, a[:3], 0.8) is None
+    assert split_overlap.contains(a, a[::-1], 0.8)[1] == 5  # the sets decide where the chain falls short
+
+
+def test_scattered_texts_lose_no_overlap(spark):
+    """Phrases of an evaluation text that lie scattered in the training text, exactly 80 % of them or one less; and texts that repeat a few words."""
+    r, rows = random.Random(12), []
+    vocabulary = [f"w{i}" for i in range(90)]
+    for i in range(150):
+        words = [r.choice(vocabulary) for _ in range(r.choice((34, 34, 44, 64)))]
+        places = len(words) - 4
+        lost = places // 5 + (i % 3 == 0)
+        keep = sorted(r.sample(range(places), places - lost))
+        blocks, at = [], 0
+        while at < len(keep):  # runs of kept phrases, in any order, with other words between
+            to = at
+            while to + 1 < len(keep) and keep[to + 1] == keep[to] + 1 and r.random() < 0.7:
+                to += 1
+            blocks.append(words[keep[at] : keep[to] + 5])
+            at = to + 1
+        r.shuffle(blocks)
+        rows += [(f"q{i:03}", " ".join(words), True), (f"t{i:03}", " ".join(f"{' '.join(b)} x{i}y{k}" for k, b in enumerate(blocks)), False)]
+    for i in range(40):  # hardly any phrase follows another one for the first time
+        few = [r.choice("ab") for _ in range(r.randrange(30, 90))]
+        rows += [(f"r{i:03}", " ".join(few), True), (f"s{i:03}", " ".join(few[10:] + [r.choice("abc") for _ in range(9)]), False)]
+    found, members = split_overlap.overlaps(spark.createDataFrame(rows, "key string, text string, asks boolean"))
+    reps = {}
+    for m in members.collect():
+        reps.setdefault((m.asks, m.rep), set()).add(m.key)
+    got = {(a, b) for x in found.collect() for a in reps[True, x.rep_a] for b in reps[False, x.rep_b]}
+    s = {k: phrase_set(t) for k, t, _ in rows}
+    want = {(a, b) for a, _, x in rows for b, _, y in rows if x and not y and s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a])}
+    assert got == want and len({a for a, _ in want if a[0] == "q"}) >= 95 and any(a[0] == "r" for a, _ in want)
 
 
 # Problem 3 -----------------------------------------------------------------------------------------------------

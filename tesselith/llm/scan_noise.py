@@ -1,7 +1,8 @@
 """Problem 4: traces of the scanned page in text, and clean paragraphs.
 
-Words are grouped by their skeleton, in which glyphs that scanners confuse fall together; in each group the
-frequent form is the word and a rare form from which it follows by confusions is a misreading. A word broken
+Words are grouped by their skeleton, in which glyphs that scanners confuse fall together; in each group frequent
+forms are words and a rare form that follows from one by confusions is a misreading. Where it follows from several,
+its neighbours in all texts tell which of them is meant. A word broken
 over two lines is joined if its joined form is supported by the words of the corpus and its hyphenated form is
 not. Running headers are lines that equal, digits masked, a title of the corpus; page numbers are lines of
 nothing but a number. SQL windows over the remaining lines put the text back into paragraphs.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesselith.llm.residue import Detector
-from tesselith.plans.lineage import materialise
+from tesselith.plans.lineage import materialise, release
 from tesselith.sources.tables import table
 
 # What is printed and what a scanner reads instead.
@@ -139,8 +140,46 @@ def _counts(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
-def misreadings(words: DataFrame) -> DataFrame:
-    """(word, reading): forms that are misreadings, with the frequent form of their skeleton from which they follow."""
+def neighbours(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, side, other, n): how often each of ``words`` (word) stands next to each other word in all texts, by side.
+
+    Each partition counts first. The list of words is broadcast if it is small, else all neighbours are counted and joined with it.
+    """
+    few = words.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS
+    sent = texts.sparkSession.sparkContext.broadcast({r.word for r in words.toLocalIterator()} if few else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, counts = sent.value, Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                row = t.lower().translate(_SEPARATORS).split()
+                if asked is not None and asked.isdisjoint(row):
+                    continue
+                for i, w in enumerate(row):
+                    if asked is None or w in asked:
+                        if i:
+                            counts[w, "l", row[i - 1]] += 1
+                        if i + 1 < len(row):
+                            counts[w, "r", row[i + 1]] += 1
+            if len(counts) > 500_000:
+                yield made(counts)
+                counts = Counter()
+        yield made(counts)
+
+    def made(counts: Counter) -> pa.RecordBatch:
+        cols = list(zip(*counts)) if counts else [[]] * 3
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(list(counts.values()), pa.int64())], ["word", "side", "other", "n"])
+
+    got = texts.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "word string, side string, other string, n bigint").groupBy("word", "side", "other").agg(F.sum("n").alias("n"))
+    return got if few else got.join(words, "word", "left_semi")
+
+
+def misreadings(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(reading, word): forms that are misreadings, with the frequent form of their skeleton from which they follow.
+
+    All frequent forms of a skeleton are tried; one that is a misreading itself stands for its word. Of several words the
+    one is meant whose neighbours in all texts are most like those of the reading (naive Bayes).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,19 +188,32 @@ def misreadings(words: DataFrame) -> DataFrame:
     # More marks than letters is a code, not a word.
     plain_forms = words.where("word not like '%-%' and length(word) > 1 and length(regexp_replace(word, '[^a-z]', '')) >= length(regexp_replace(word, '[a-z]', ''))")
     held = materialise(plain_forms.mapInArrow(run, "word string, n bigint, skels array<string>").select("word", "n", F.explode("skels").alias("skel")), "skeletons")
-    # The most frequent forms of each skeleton.
-    top = Window.partitionBy("skel").orderBy(F.col("n").desc(), "word")
-    leads = held.where((F.col("n") >= KNOWN) & ~F.col("word").rlike(r"[0-9!(]")).withColumn("k", F.row_number().over(top)).where("k <= 4")
+    leads = held.where((F.col("n") >= KNOWN) & ~F.col("word").rlike(r"[0-9!(]"))
     pair = held.alias("x").join(leads.alias("y"), "skel").where("y.n >= %d * x.n or (x.word rlike '[0-9!(]' and y.n >= x.n)" % RARER).where("x.word <> y.word")
+    pair = pair.select(F.col("x.word").alias("reading"), F.col("y.word").alias("word"), F.col("y.n").alias("n")).distinct()  # words share several skeletons
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(r, w, n) for r, w, n in zip(*(c.to_pylist() for c in b.columns)) if follows(w, r)]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["reading", "word", "n"])
-
-    ok = pair.select(F.col("x.word").alias("reading"), F.col("y.word").alias("word"), F.col("y.n").alias("n")).mapInArrow(check, "reading string, word string, n bigint")
-    return ok.groupBy("reading").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+            keep = [i for i, (r, w) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) if follows(w, r)]
+            yield b.take(pa.array(keep, pa.int64()))
+
+    ok = materialise(pair.mapInArrow(check, "reading string, word string, n bigint"), "readings")
+    best = F.max_by(F.struct("word", "n"), F.struct("n", "word"))
+    own = ok.groupBy(F.col("reading").alias("word")).agg(best.alias("m")).select("word", F.col("m.word").alias("for"), F.col("m.n").alias("m"))
+    ok = ok.join(own, "word", "left").select("reading", F.coalesce("for", "word").alias("word"), F.coalesce("m", "n").alias("n")).where("reading <> word").distinct()
+    choice = materialise(ok.withColumn("words", F.count("*").over(Window.partitionBy("reading"))), "choices")
+    several = choice.where("words > 1")
+    asked = materialise(several.select(F.col("reading").alias("word")).union(several.select("word")).distinct(), "asked")
+    near = materialise(neighbours(texts, asked), "neighbours")
+    # What stands beside the reading, and how often beside each word that it may be.
+    beside = several.join(near.select(F.col("word").alias("reading"), "side", "other", F.col("n").alias("m")), "reading")
+    beside = beside.join(near.withColumnRenamed("n", "c"), ["word", "side", "other"], "left")
+    fit = beside.groupBy("reading", "word").agg(F.sum(F.col("m") * (F.log(F.coalesce("c", F.lit(0)) + 0.5) - F.log(F.col("n") + 1.0))).alias("fit"))
+    scored = choice.join(fit, ["reading", "word"], "left").withColumn("fit", F.coalesce("fit", F.lit(0.0)) + F.log("n"))
+    out = materialise(scored.groupBy("reading").agg(F.max_by("word", F.struct("fit", "n", "word")).alias("word")), "misreadings")
+    for done in (held, choice, asked, near):
+        release(done)
+    return out
 
 
 def titles(corpus: DataFrame) -> DataFrame:
@@ -294,7 +346,7 @@ class Reader:
 def learn(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What the corpus knows: words (word, n), misreadings (reading, word), compounds (word) and titles (title)."""
     words = materialise(vocabulary(corpus, corpus.where(F.col("heading_path").isNotNull()).select("heading_path")), "words")
-    wrong = materialise(misreadings(words), "misreadings")
+    wrong = misreadings(words, corpus)
     known = words.where((F.col("n") >= KNOWN) & ~F.col("word").contains("-")).join(wrong.select(F.col("reading").alias("word")), "word", "left_anti")
     # A compound counts if it stands unbroken at least as often as its joined form.
     both = words.where("word like '%-%' and n >= 2").select(F.col("word").alias("compound"), F.regexp_replace("word", "-", "").alias("word"), F.col("n").alias("m"))

@@ -210,6 +210,20 @@ def test_clean_text_has_no_trace(spark):
     assert noisy(spark, CLEAN.replace("record of", "record\nof") + ". See also the Civil Code,\npart 2, section 12.") == {}
 
 
+def test_every_frequent_form_of_a_skeleton_is_tried(spark):
+    """The fifth most frequent form of one skeleton has misreadings too, and a misread lead stands for its word."""
+    forms = {"hand": 900, "bond": 800, "band": 700, "haud": 600, "hond": 500, "b0nd": 2, "hancl": 9, "h0nd": 1}
+    got = {r.reading: r.word for r in scan_noise.misreadings(spark.createDataFrame(list(forms.items()), "word string, n bigint"), spark.createDataFrame([], "text string")).collect()}
+    assert set(got) >= {"b0nd", "h0nd", "hancl"} and got["hancl"] == "hand"
+
+
+def test_neighbours_tell_which_word_is_meant(spark):
+    texts = ["the clerk has lost the file on it"] * 40 + ["the last day of court"] * 90 + ["he has 1ost the file", "she has 1ost the seal"] + ["on the 1ast day"]
+    df = spark.createDataFrame([(f"p{i:03}", t, None, None, None) for i, t in enumerate(texts)], "provision_id string, text string, heading_path string, doc_title string, nation string")
+    got = {r.provision_id: r.repaired for r in scan_noise.read(df).collect()}
+    assert got == {"p130": "he has lost the file", "p131": "she has lost the seal", "p132": "on the last day"}
+
+
 def test_reflow_joins_lines(spark):
     df = spark.createDataFrame([("p", "One line\ngoes on.\n\n(a) First\nitem\n(b) second")], "provision_id string, repaired string")
     assert [r.text for r in scan_noise.reflow(df).orderBy("paragraph").collect()] == ["One line goes on.", "(a) First item", "(b) second"]

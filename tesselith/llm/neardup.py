@@ -304,7 +304,9 @@ def open_groups(texts: DataFrame, key: str, text: str, classes: DataFrame, wante
         t_ = rows.schema.field("rep").type
         return pa.table({"a": pa.array(cols[0], t_), "b": pa.array(cols[1], t_), "common": pa.array(cols[2], pa.int64()), "n_a": pa.array(cols[3], pa.int64()), "n_b": pa.array(cols[4], pa.int64())})
 
-    both = whole.repartition(tasks, "rep").join(roles.repartition(tasks, "rep"), "rep").repartition(tasks, "grp", "piece", "chunk")
+    if (sent := small(roles)) is roles:  # too many to broadcast
+        whole, sent = whole.repartition(tasks, "rep"), roles.repartition(tasks, "rep")
+    both = whole.join(sent, "rep").repartition(tasks, "grp", "piece", "chunk")
     links = materialise(both.groupBy("grp", "piece", "chunk").applyInArrow(compare, f"a {kind}, b {kind}, common bigint, n_a bigint, n_b bigint").distinct(), "links")
     release(roles)
     return links

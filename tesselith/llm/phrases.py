@@ -2,7 +2,7 @@
 
 The words of a text are the maximal runs of a-z and 0-9 after lower-casing. A batch of texts is hashed at once:
 polynomial prefix sums give every word a number, five successive numbers give a phrase. A counting sketch, with about
-a cell for each phrase up to a bound, says roughly how many texts hold a phrase; it only orders phrases and splits
+a cell for two phrases up to a bound, says roughly how many texts hold a phrase; it only orders phrases and splits
 hot ones, so its errors cost time and never a result.
 """
 
@@ -159,13 +159,13 @@ def levels(cells: np.ndarray) -> np.ndarray:
 def survey(texts: DataFrame, text: str = "text", cells: int | None = None) -> tuple[Broadcast, int]:
     """Two scans of all texts: (the sketch of phrase counts as a broadcast, number of phrases).
 
-    The sketch has a cell for about each phrase, but at most MOST_CELLS: beyond, cells are shared and only common phrases stand
+    The sketch has a cell for about two phrases, but at most MOST_CELLS: beyond, cells are shared and only common phrases stand
     out. The number sizes the later exchanges.
     """
     spark = texts.sparkSession
     if cells is None:
         chars = texts.agg(F.sum(F.length(text))).first()[0] or 0
-        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // 6).bit_length()))
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // 12).bit_length()))
     width = cells // SKETCH_SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,9 +50,14 @@ def fingerprints(keys: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.
     """Places of the rarest phrase of every window that lies in one text, without repeats."""
     if len(keys) < window:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(keys, window)
-    at = np.arange(len(view)) + view.argmin(axis=1)
-    return np.unique(at[doc[: len(view)] == doc[window - 1 :]])
+    n = len(keys) - window + 1
+    at, low = np.arange(n), keys[:n]
+    for k in range(1, window):
+        less = keys[k : n + k] < low
+        at, low = np.where(less, np.arange(k, n + k), at), np.where(less, keys[k : n + k], low)
+    found = np.zeros(len(keys), bool)
+    found[at[doc[:n] == doc[window - 1 :]]] = True
+    return np.nonzero(found)[0]
 
 
 def probes(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, n_docs: int, contained: float = CONTAINED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +188,12 @@ def candidates(texts: DataFrame, contained: float = CONTAINED, window: int = WIN
             one[np.unique(same, axis=1, return_index=True)[1]] = True
             keep = one[local]
             token, local, split = token[keep], local[keep], ph.hot_parts(level[keep], hot)
-            # A hot phrase of a training text is in every part of its bucket, one of an evaluation text in a single part.
+            # A hot phrase of a training text is in one part of its bucket, one that is looked up, which is rarer, in every part.
             asks = asked[local] > 0
             own = (ph.mix(codes[local]) % split.astype(np.uint64)).astype(np.int64)
-            times = np.where(asks, 1, split)
+            times = np.where(asks, split, 1)
             at = np.repeat(np.arange(len(token)), times)
-            part = np.where(asks[at], own[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
+            part = np.where(asks[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), own[at])
             token, local = token[at], local[at]
             bucket = ph.bucket_of(token, part, parts)
             held_in = [int(b) for b in np.unique(bucket)]

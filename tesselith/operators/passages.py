@@ -82,6 +82,19 @@ def heading_stack(events: DataFrame, doc: str, pos: str, level: str, label: str,
     return out.withColumn("path", path).withColumn("deepest", F.coalesce(deepest, F.lit(""))).drop(*[f"_{c}{k}" for c in "pl" for k in range(n_levels)])
 
 
+def dominant_name(df: DataFrame, key: str, text: Column, names: DataFrame, name: str, least: int, times: int) -> DataFrame:
+    """(key, name, hits): the name whose first word stands most often in ``text``, at least ``least`` times and ``times`` as often as the next one.
+
+    Words are counted in each text first and joined with the first words of ``names``; of names with one first word the smaller counts.
+    """
+    first = names.groupBy(F.regexp_extract(name, "[a-z]+", 0).alias("_w")).agg(F.min(name).alias("name"))
+    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(T.blank(text)), F.lit("([a-z]+)"), 1)).alias("_w"))
+    hits = words.join(first, "_w").groupBy(key, "name").agg(F.count("*").alias("hits"))
+    w = Window.partitionBy(key).orderBy(F.desc("hits"), "name")
+    ranked = hits.withColumn("_k", F.row_number().over(w)).withColumn("_second", F.coalesce(F.lead("hits").over(w), F.lit(0)))
+    return ranked.where((F.col("_k") == 1) & (F.col("hits") >= least) & (F.col("hits") >= times * F.col("_second"))).select(key, "name", "hits")
+
+
 def word_windows(df: DataFrame, key: str, text: str, size: int = 60) -> DataFrame:
     """(key, k, passage): windows of ``size`` words, the last partial one left out."""
     words = F.split(T.squash(T.blank(F.col(text))), " ")

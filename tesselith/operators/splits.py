@@ -97,7 +97,8 @@ def equal_draws(df: DataFrame, by: list[str], key: str, n: int, reps: int, seed:
     """``reps`` subsamples without replacement of ``n`` rows of every cell; rows with ``rep``."""
     r = df.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep"))
     rows = df.crossJoin(F.broadcast(r))  # reps is a parameter
-    return hash_rank(rows, ["rep", *by], by_hash(seed, "rep", key), key, "_k").where(F.col("_k") <= n).drop("_k")
+    first = Window.partitionBy("rep", *by).orderBy(by_hash(seed, "rep", key), key)  # only the first n of a partition's part of a cell are shuffled
+    return rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= n).drop("_k")
 
 
 def review_queue(df: DataFrame, key: str, suggestion: Column, shown: float, repeats: int, gap: int, seed: str) -> DataFrame:

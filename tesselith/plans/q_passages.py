@@ -197,18 +197,29 @@ def mask_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mask_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Share of words that each masking level leaves, by group."""
-    p = O.passages(spark, d, "text").where("text is not null")
-    words = [F.sum(T.n_words(T.mask(F.col("text"), k, _TERMS))).alias(f"words_m{k}") for k in range(4)]
-    marks = [F.sum(F.regexp_count(T.mask(F.col("text"), k, _TERMS), F.lit("§[A-Z]+"))).alias(f"marks_m{k}") for k in range(4)]
-    return p.groupBy("grp").agg(*words, *marks)
+    """Words and marks that each masking level leaves, by group; every level is made from the one before."""
+    p = O.passages(spark, d, "text").where("text is not null").select("grp", F.col("text").alias("m0"))
+    for k in range(1, 4):
+        p = p.withColumn(f"m{k}", T.mask_step(F.col(f"m{k - 1}"), k, _TERMS))
+    p = p.select("grp", *[T.n_words(F.col(f"m{k}")).alias(f"words_m{k}") for k in range(4)], *[F.regexp_count(f"m{k}", F.lit("§[A-Z]+")).alias(f"marks_m{k}") for k in range(4)])
+    return p.groupBy("grp").agg(*[F.sum(c).alias(c) for c in p.columns[1:]])
 
 
-@query(f"WITH {S.PASSAGES} SELECT provision_id, list_max(list_transform(regexp_extract_all(text, '{P.YEAR}'), lambda y: y::INT)) AS last_year FROM p WHERE regexp_matches(text, '{P.YEAR}')")
+_ENDS = "left(text, 4000) || ' ' || right(text, 2000)"
+_YEARS = f"list_max(list_transform(regexp_extract_all({_ENDS}, '{P.YEAR}'), lambda y: y::INT))"
+
+
+@query(f"WITH {S.PASSAGES} SELECT provision_id, {_YEARS} AS last_year FROM p WHERE regexp_matches({_ENDS}, '{P.YEAR}')")
 def publication_year(spark: SparkSession, d: str) -> DataFrame:
     return O.passages(spark, d, "text").select("provision_id", T.last_year(F.col("text")).alias("last_year")).where("last_year is not null")
 
 
+@query(f"SELECT doc_id, {_YEARS} AS last_year FROM documents WHERE regexp_matches({_ENDS}, '{P.YEAR}')")
+def document_year(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the longer texts, of which many are longer than both ends."""
+    return table(spark, d, "documents").select("doc_id", T.last_year(F.col("text")).alias("last_year")).where("last_year is not null")
+
+
 @query(f"WITH {S.PASSAGES} SELECT provision_id, nullif(trim(regexp_extract(coalesce(text, ''), '(?is){P.HISTORY}', 1)), '') AS note, length(trim(regexp_replace(text, '(?is){P.HISTORY}', '', 'g')))::BIGINT AS rest_length FROM p WHERE text IS NOT NULL")
 def history_notes(spark: SparkSession, d: str) -> DataFrame:
     return O.passages(spark, d, "text").where("text is not null").select("provision_id", T.history_note(F.col("text")).alias("note"), F.length(T.without_history(F.col("text"))).cast("bigint").alias("rest_length"))

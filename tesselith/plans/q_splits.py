@@ -95,8 +95,8 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("i").cast("bigint").alias("i"), "key", "suggested", "repeat_of")
 
 
-@query(f"""WITH {S.PASSAGES}, x AS (SELECT rep, grp, domain, silver, row_number() OVER (PARTITION BY rep, grp, domain ORDER BY md5(concat_ws('|', 's10', rep, provision_id)), provision_id) k FROM p, (SELECT unnest(range(20))::INT rep) WHERE domain IS NOT NULL AND silver IS NOT NULL)
+@query(f"""WITH {S.PASSAGES}, x AS (SELECT rep, grp, domain, silver, row_number() OVER (PARTITION BY rep, grp, domain ORDER BY md5(concat_ws('|', 's10', rep, provision_id)), provision_id) k FROM p, (SELECT unnest(range(200))::INT rep) WHERE domain IS NOT NULL AND silver IS NOT NULL)
 SELECT rep, grp, domain, silver, count(*) AS n FROM x WHERE k <= 10 GROUP BY 1, 2, 3, 4""")
 def equal_draws(spark: SparkSession, d: str) -> DataFrame:
     rows = O.passages(spark, d, "domain", "silver").where("domain is not null and silver is not null")
-    return X.equal_draws(rows, ["grp", "domain"], "provision_id", 10, 20, "s10").groupBy("rep", "grp", "domain", "silver").agg(F.count("*").alias("n"))
+    return X.equal_draws(rows, ["grp", "domain"], "provision_id", 10, 200, "s10").groupBy("rep", "grp", "domain", "silver").agg(F.count("*").alias("n"))

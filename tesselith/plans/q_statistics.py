@@ -89,16 +89,16 @@ def signflip_exact_all(spark: SparkSession, d: str) -> DataFrame:
     return R.sign_flip_halves(_cells(spark, d), "grp", "diff").select("n", F.round("mean", 8).alias("mean"), "n_extreme", F.round("p", 8).alias("p"))
 
 
-@query(f"""WITH {_CELLS}, k AS (SELECT grp, diff FROM c WHERE diff IS NOT NULL), s AS (SELECT rep, sum(CASE WHEN substr(md5(concat_ws('|', 'f1', rep, grp)), 1, 1) < '8' THEN diff ELSE -diff END) t FROM k, (SELECT unnest(range(2000)) rep) GROUP BY 1), o AS (SELECT sum(diff) s, count(*) n FROM k)
-SELECT n, round(s / n, 8) AS mean, round((1 + (SELECT count(*) FROM s, o WHERE abs(t) >= abs(s) - 1e-12)) / 2001.0, 8) AS p FROM o""")
+@query(f"""WITH {_CELLS}, k AS (SELECT grp, diff FROM c WHERE diff IS NOT NULL), s AS (SELECT rep, sum(CASE WHEN substr(md5(concat_ws('|', 'f1', rep, grp)), 1, 1) < '8' THEN diff ELSE -diff END) t FROM k, (SELECT unnest(range(20000)) rep) GROUP BY 1), o AS (SELECT sum(diff) s, count(*) n FROM k)
+SELECT n, round(s / n, 8) AS mean, round((1 + (SELECT count(*) FROM s, o WHERE abs(t) >= abs(s) - 1e-12)) / 20001.0, 8) AS p FROM o""")
 def signflip_mc(spark: SparkSession, d: str) -> DataFrame:
-    return R.sign_flip(_cells(spark, d), "grp", "diff", 2000, "f1").select("n", F.round("mean", 8).alias("mean"), F.round("p", 8).alias("p"))
+    return R.sign_flip(_cells(spark, d), "grp", "diff", 20000, "f1").select("n", F.round("mean", 8).alias("mean"), F.round("p", 8).alias("p"))
 
 
 @query(f"""WITH {_CELLS}, k AS (SELECT grp, diff, docs FROM c WHERE diff IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY diff) + (count(*) OVER (PARTITION BY diff) - 1) / 2.0 a, rank() OVER (ORDER BY docs) + (count(*) OVER (PARTITION BY docs) - 1) / 2.0 b FROM k)
 SELECT count(*) AS n, round(corr(a, b), 8) AS rho FROM r""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    r = _cells(spark, d).where("diff is not null").select(M.average_rank("diff").alias("a"), M.average_rank("docs").alias("b"))
+    r = M.average_ranks(M.average_ranks(_cells(spark, d).where("diff is not null"), "diff", "a"), "docs", "b")
     return r.agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 8).alias("rho"))
 
 
@@ -117,8 +117,8 @@ def loglog_slope(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.round(F.regr_slope(F.log("n"), F.log("m")), 8).alias("slope"), F.count("*").alias("n_groups"))
 
 
-_BOOT = f"""{S.PASSAGES}, c AS (SELECT grp, gold t, nli_label p, count(*) n FROM p WHERE gold IS NOT NULL AND nli_label IS NOT NULL GROUP BY 1, 2, 3), k AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 j FROM (SELECT DISTINCT grp FROM c)), z AS (SELECT count(*) z FROM k),
-dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b1', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(200)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2),
+_BOOT = f"""{S.PASSAGES}, c AS (SELECT grp, gold t, nli_label p, count(*) n FROM p WHERE gold IS NOT NULL AND nli_label IS NOT NULL GROUP BY 1, 2, 3), k AS (SELECT grp, row_number() OVER (ORDER BY md5(concat_ws('|', 'b1', grp)), grp) - 1 j FROM (SELECT DISTINCT grp FROM c)), z AS (SELECT count(*) z FROM k),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b1', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(2000)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2),
 w AS (SELECT rep, t, p, sum(n * m) n FROM m JOIN k USING (j) JOIN c USING (grp) GROUP BY 1, 2, 3),
 e AS (SELECT rep, v, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT rep, t v, CASE WHEN t = p THEN n ELSE 0 END tp, 0 fp, CASE WHEN t <> p THEN n ELSE 0 END fn FROM w UNION ALL SELECT rep, p, 0, CASE WHEN t <> p THEN n ELSE 0 END, 0 FROM w) GROUP BY 1, 2),
 f AS (SELECT rep, avg(2.0 * tp / (2 * tp + fp + fn)) macro_f1 FROM e GROUP BY 1)"""
@@ -130,7 +130,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boot(spark: SparkSession, d: str) -> DataFrame:
-    return R.cluster_bootstrap(O.passages(spark, d, "gold", "nli_label"), "grp", "gold", "nli_label", 200, "b1")
+    return R.cluster_bootstrap(O.passages(spark, d, "gold", "nli_label"), "grp", "gold", "nli_label", 2000, "b1")
 
 
 @query(f"WITH {_BOOT} SELECT round(quantile_cont(macro_f1, 0.025), 8) AS low, round(quantile_cont(macro_f1, 0.5), 8) AS mid, round(quantile_cont(macro_f1, 0.975), 8) AS high FROM f")
@@ -203,19 +203,129 @@ e{tag} AS (SELECT rep, v, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT rep, t
 f{tag} AS (SELECT rep, avg(2.0 * tp / (2 * tp + fp + fn)) f FROM e{tag} GROUP BY 1)"""
 
 
-@query(f"""WITH {S.PASSAGES}, r AS (SELECT grp, gold, rule_label, nli_label FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL), k AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 j FROM (SELECT DISTINCT grp FROM r)), z AS (SELECT count(*) z FROM k),
-dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b2', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(200)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2), {_paired_sql('rule_label', 'a')}, {_paired_sql('nli_label', 'b')}
+@query(f"""WITH {S.PASSAGES}, r AS (SELECT grp, gold, rule_label, nli_label FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL), k AS (SELECT grp, row_number() OVER (ORDER BY md5(concat_ws('|', 'b2', grp)), grp) - 1 j FROM (SELECT DISTINCT grp FROM r)), z AS (SELECT count(*) z FROM k),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b2', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(2000)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2), {_paired_sql('rule_label', 'a')}, {_paired_sql('nli_label', 'b')}
 SELECT round(quantile_cont(fa.f / fb.f, 0.025), 6) AS low, round(quantile_cont(fa.f / fb.f, 0.5), 6) AS mid, round(quantile_cont(fa.f / fb.f, 0.975), 6) AS high, round(avg((fa.f > fb.f)::INT), 6) AS share_better FROM fa JOIN fb USING (rep)""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Ratio of the rules' macro-F1 to the model's under the same cluster draws."""
-    b = R.paired_bootstrap(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label", 200, "b2")
+    b = R.paired_bootstrap(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label", 2000, "b2")
     b = b.withColumn("ratio", F.col("f1_one") / F.col("f1_two"))
     q = R.interval(b, "ratio").select(*[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
     return q.crossJoin(F.broadcast(b.agg(F.round(F.avg((F.col("f1_one") > F.col("f1_two")).cast("int")), 6).alias("share_better"))))  # one row each
 
 
-@query(f"""WITH {S.PASSAGES}, g AS (SELECT grp, avg((rule_label = gold)::INT) - avg((nli_label = gold)::INT) d FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL GROUP BY 1), c AS (SELECT count(*) n_blocks, count_if(d > 0)::BIGINT better, count_if(d < 0)::BIGINT worse, avg(d) mean FROM g),
-x AS (SELECT *, unnest(range(0, least(better, worse) + 1)) i FROM c) SELECT n_blocks, better, worse, round(mean, 8) AS mean, round(least(1.0, 2 * sum(exp(lgamma(better+worse+1) - lgamma(i+1) - lgamma(better+worse-i+1) - (better+worse) * ln(2.0)))), 6) AS p FROM x GROUP BY ALL""")
+def _f1_sql(pred: str, tag: str) -> str:
+    """(grp, f): macro-F1 of a prediction by group."""
+    return f"""e{tag} AS (SELECT grp, v, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT grp, gold v, (gold = {pred})::INT tp, 0 fp, (gold <> {pred})::INT fn FROM r UNION ALL SELECT grp, {pred}, 0, (gold <> {pred})::INT, 0 FROM r) GROUP BY 1, 2),
+f{tag} AS (SELECT grp, avg(2.0 * tp / (2 * tp + fp + fn)) f FROM e{tag} GROUP BY 1)"""
+
+
+_THREE = "r AS (SELECT grp, gold, rule_label, nli_label FROM p WHERE gold IS NOT NULL AND rule_label IS NOT NULL AND nli_label IS NOT NULL)"
+_GAPS = f"{S.PASSAGES}, {_THREE}, {_f1_sql('rule_label', 'a')}, {_f1_sql('nli_label', 'b')}, g AS (SELECT grp, fa.f - fb.f AS d FROM fa JOIN fb USING (grp))"
+
+
+@query(f"""WITH {_GAPS}, c AS (SELECT count(*) n_blocks, count_if(d > 1e-12)::BIGINT better, count_if(d < -1e-12)::BIGINT worse, avg(d) mean FROM g),
+x AS (SELECT *, unnest(range(0, least(better, worse) + 1)) i FROM c) SELECT n_blocks, better, worse, round(mean, 8) AS mean, round(least(1.0, 2 * sum(exp(lgamma(better+worse+1) - lgamma(i+1) - lgamma(better+worse-i+1) - (better+worse) * ln(2.0)))), 6) AS p, round(3 / (2.0 ** n_blocks + 1), 10) AS floor FROM x GROUP BY ALL""")
 def block_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Rules against the model by group: macro-F1, sign test and its floor."""
     c = R.block_contrast(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label")
-    return c.select("n_blocks", "better", "worse", F.round("mean", 8).alias("mean"), F.round("p", 6).alias("p"))
+    return c.select("n_blocks", "better", "worse", F.round("mean", 8).alias("mean"), F.round("p", 6).alias("p"), F.round("floor", 10).alias("floor"))
+
+
+@query(f"""WITH {S.PASSAGES}, {_THREE}, k AS (SELECT grp, row_number() OVER (ORDER BY md5(concat_ws('|', 'b3', grp)), grp) - 1 j FROM (SELECT DISTINCT grp FROM r)), z AS (SELECT count(*) z FROM k),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b3', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range(2000)) rep), k, z), m AS (SELECT rep, j, count(*) m FROM dr GROUP BY 1, 2), {_paired_sql('rule_label', 'a')}, {_paired_sql('nli_label', 'b')}
+SELECT {', '.join(f"round(quantile_cont({e}, {x}), 6) AS {c}_{n}" for c, e in (('f1_one', 'fa.f'), ('f1_two', 'fb.f'), ('ratio', 'CASE WHEN fb.f <> 0 THEN fa.f / fb.f END')) for n, x in (('low', 0.025), ('high', 0.975)))},
+  round(least(1.0, (1 + count_if(fa.f <= fb.f)) * 2.0 / (count(*) + 1)), 6) AS gap_p FROM fa JOIN fb USING (rep)""")
+def paired_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Rules and model on the same resampled groups: intervals of both and of their ratio, and p of the gap."""
+    b = R.paired_bootstrap(O.passages(spark, d, "gold", "rule_label", "nli_label"), "grp", "gold", "rule_label", "nli_label", 2000, "b3")
+    got = R.paired_interval(b)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+@query(f"""WITH {S.PASSAGES}, c AS (SELECT gold t, nli_label p, count(*) n FROM p WHERE gold IS NOT NULL AND nli_label IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, sum(n) OVER (ORDER BY t, p) AS hi, sum(n) OVER (ORDER BY t, p) - n AS lo FROM c), z AS (SELECT sum(n)::BIGINT z FROM c),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'b4', rep, s)), 1, 12))::BIGINT % z AS j FROM (SELECT unnest(range(200)) rep), (SELECT unnest(range(z)) s, z FROM z)), w AS (SELECT rep, t, p, count(*) n FROM dr JOIN o ON j >= lo AND j < hi GROUP BY 1, 2, 3),
+e AS (SELECT rep, v, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM (SELECT rep, t v, CASE WHEN t = p THEN n ELSE 0 END tp, 0 fp, CASE WHEN t <> p THEN n ELSE 0 END fn FROM w UNION ALL SELECT rep, p, 0, CASE WHEN t <> p THEN n ELSE 0 END, 0 FROM w) GROUP BY 1, 2)
+SELECT rep, round(avg(2.0 * tp / (2 * tp + fp + fn)), 8) AS macro_f1 FROM e GROUP BY 1""")
+def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Macro-F1 of the model labels under 200 resamples of the rows."""
+    return R.row_bootstrap(O.passages(spark, d, "gold", "nli_label"), "gold", "nli_label", 200, "b4").select("rep", F.round("macro_f1", 8).alias("macro_f1"))
+
+
+_DRAWS = """k AS (SELECT e, row_number() OVER (ORDER BY md5(concat_ws('|', '{0}', e)), e) - 1 j FROM (SELECT DISTINCT e FROM {1})), z AS (SELECT count(*) z FROM k),
+dr AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', '{0}', rep, k.j)), 1, 12))::BIGINT % z j FROM (SELECT unnest(range({2})) rep), k, z), dw AS (SELECT rep, e, count(*) m FROM dr JOIN k USING (j) GROUP BY 1, 2)"""
+_CI = "round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.5), 8) AS mid, round(quantile_cont(mean, 0.975), 8) AS high"
+
+
+@query(f"WITH {_CELLS}, v AS (SELECT grp AS e, diff FROM c WHERE diff IS NOT NULL), {_DRAWS.format('b5', 'v', 5000)}, b AS (SELECT rep, sum(diff * m) / sum(m) AS mean FROM dw JOIN v USING (e) GROUP BY 1) SELECT {_CI} FROM b")
+def mean_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the mean difference of the cell rates under resampled groups."""
+    b = R.mean_bootstrap(_cells(spark, d), "grp", "diff", 5000, "b5")
+    return R.interval(b, "mean").select(*[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
+
+
+_PAIR_JSD = "SELECT x.domain, x.grp AS a, y.grp AS b, sum(0.5 * x.q * log2(x.q / ((x.q + y.q) / 2)) + 0.5 * y.q * log2(y.q / ((x.q + y.q) / 2))) AS jsd FROM q x JOIN q y ON x.domain = y.domain AND x.label = y.label AND x.grp < y.grp GROUP BY 1, 2, 3"
+
+
+@query(f"""WITH {_DIST}, j AS ({_PAIR_JSD}), t AS (SELECT a, b, x.jsd - y.jsd AS d FROM j x JOIN j y USING (a, b) WHERE x.domain = 'civil' AND y.domain = 'criminal'), u AS (SELECT a AS e FROM t UNION SELECT b FROM t), {_DRAWS.format('b6', 'u', 2000)},
+b AS (SELECT x.rep, avg(d) AS mean FROM t JOIN dw x ON x.e = t.a JOIN dw y ON y.e = t.b AND y.rep = x.rep GROUP BY 1 HAVING count(*) >= 3) SELECT {_CI}, count(*) AS n_reps FROM b""")
+def pair_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of civil less criminal divergence between groups, groups resampled rather than pairs."""
+    j = M.jsd(_dist(spark, d), "grp", "domain")
+    side = lambda x: j.where(F.col("domain") == x).select("a", "b", F.col("jsd").alias(x))
+    t = side("civil").join(side("criminal"), ["a", "b"]).select("a", "b", (F.col("civil") - F.col("criminal")).alias("d"))
+    b = R.pair_bootstrap(t, "a", "b", "d", 2000, "b6")
+    return R.interval(b, "mean").select(*[F.round(c, 8).alias(c) for c in ("low", "mid", "high")]).crossJoin(F.broadcast(b.agg(F.count("*").alias("n_reps"))))  # one row each
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT grp, diff FROM c WHERE diff IS NOT NULL), f AS (SELECT rep, avg((diff + 0.1) * sg) lo, avg((diff - 0.1) * sg) hi FROM (SELECT rep, diff, CASE WHEN substr(md5(concat_ws('|', 'f2', rep, grp)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END sg FROM k, (SELECT unnest(range(20000)) rep)) GROUP BY 1), o AS (SELECT avg(diff) m, count(*) n FROM k)
+SELECT n, round(m, 8) AS mean, round((1 + count_if(lo <= -abs(m + 0.1) + 1e-12)) / 20001.0, 8) AS p_lower, round((1 + count_if(hi >= abs(m - 0.1) - 1e-12)) / 20001.0, 8) AS p_upper, greatest((1 + count_if(lo <= -abs(m + 0.1) + 1e-12)) / 20001.0, (1 + count_if(hi >= abs(m - 0.1) - 1e-12)) / 20001.0) < 0.05 AS equivalent FROM f, o GROUP BY n, m""")
+def equivalence(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mean difference of the cell rates lies within a tenth of nothing."""
+    got = R.equivalence(_cells(spark, d), "grp", "diff", 0.1, 20000, "f2")
+    return got.select("n", *[F.round(c, 8).alias(c) for c in ("mean", "p_lower", "p_upper")], "equivalent")
+
+
+def _floor_sql(dom: str) -> str:
+    cuts = f"(SELECT list(label ORDER BY label) ls, list(e ORDER BY label) es FROM (SELECT label, sum(n) OVER (ORDER BY label) / sum(n) OVER () AS e FROM k WHERE domain = '{dom}'))"
+    return f"""u{dom} AS (SELECT rep, arm, ls[least(len(list_filter(es, lambda e: e <= ('0x' || substr(md5(concat_ws('|', 'n-{dom}', rep, arm, s)), 1, 12))::BIGINT / 281474976710656.0)) + 1, len(ls))] AS label FROM (SELECT unnest(range(5000)) rep), (SELECT unnest(range(2)) arm), (SELECT unnest(range(27)) s), {cuts}),
+w{dom} AS (SELECT rep, l.label, count_if(arm = 0 AND u.label = l.label) c0, count_if(arm = 1 AND u.label = l.label) c1 FROM u{dom} u, (SELECT label FROM k WHERE domain = '{dom}') l GROUP BY 1, 2),
+p{dom} AS (SELECT rep, (c0 + 1e-12) / (27 + 1e-12 * count(*) OVER (PARTITION BY rep)) a, (c1 + 1e-12) / (27 + 1e-12 * count(*) OVER (PARTITION BY rep)) b FROM w{dom}),
+j{dom} AS (SELECT rep, sum(0.5 * a * log2(a / ((a + b) / 2)) + 0.5 * b * log2(b / ((a + b) / 2))) jsd FROM p{dom} GROUP BY 1)"""
+
+
+@query(f"WITH {S.PASSAGES}, k AS (SELECT domain, silver AS label, count(*) n FROM p WHERE domain IN ('civil', 'criminal') AND silver IS NOT NULL GROUP BY 1, 2), {_floor_sql('civil')}, {_floor_sql('criminal')} "
+       + " UNION ALL ".join(f"SELECT '{x}' AS domain, round(avg(jsd), 6) AS floor_mean, round(quantile_cont(jsd, 0.95), 6) AS floor_p95 FROM j{x}" for x in ("civil", "criminal")))
+def divergence_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Divergence that two samples of 27 of one distribution have by chance, from 5000 draws, by domain."""
+    counts: dict[str, dict[str, int]] = {"civil": {}, "criminal": {}}
+    for r in O.passages(spark, d, "domain", "silver").where("domain in ('civil', 'criminal') and silver is not null").groupBy("domain", "silver").count().collect():  # labels of two domains
+        counts[r.domain][r.silver] = r["count"]
+    parts = []
+    for dom, c in counts.items():
+        if c:
+            f = R.divergence_floor(c, 27, 5000, f"n-{dom}", spark)
+            parts.append(f.agg(F.round(F.avg("jsd"), 6).alias("floor_mean"), F.round(F.percentile("jsd", F.lit(0.95)), 6).alias("floor_p95")).select(F.lit(dom).alias("domain"), "floor_mean", "floor_p95"))
+    if not parts:
+        return spark.createDataFrame([], "domain string, floor_mean double, floor_p95 double")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH {S.PASSAGES}, r AS (SELECT provision_id, grp g, silver l FROM p WHERE silver IS NOT NULL), q AS (SELECT rep, g, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', 't1', rep, provision_id)), provision_id) k FROM r, (SELECT unnest(range(20)) rep)),
+b AS (SELECT l, row_number() OVER (ORDER BY {S.order('t1', 'provision_id')}, provision_id) k FROM r), c AS (SELECT rep, g, l, count(*) n FROM q JOIN b USING (k) GROUP BY 1, 2, 3 UNION ALL SELECT -1, g, l, count(*) FROM r GROUP BY 2, 3), t AS (SELECT rep, sum(n) t FROM c GROUP BY 1),
+hl AS (SELECT rep, ln(sum(n)) - sum(n * ln(n)) / sum(n) h FROM (SELECT rep, l, sum(n) n FROM c GROUP BY 1, 2) GROUP BY 1), hg AS (SELECT rep, sum(h * m) / sum(m) h FROM (SELECT rep, g, ln(sum(n)) - sum(n * ln(n)) / sum(n) h, sum(n) m FROM c GROUP BY 1, 2) GROUP BY 1),
+u AS (SELECT rep, (hl.h - hg.h) / hl.h AS u FROM hl JOIN hg USING (rep)), o AS (SELECT u FROM u WHERE rep = -1)
+SELECT round(o.u, 8) AS u, round(avg(u.u), 8) AS "null", round((o.u - avg(u.u)) / (1 - avg(u.u)), 8) AS adjusted, round((1 + count_if(u.u >= o.u - 1e-12)) / (1.0 + count(*)), 8) AS p FROM u, o WHERE rep >= 0 GROUP BY o.u""")
+def theil_u_adjusted(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the label's entropy that the group fixes, beyond what labels dealt anew leave (20 permutations)."""
+    got = M.theil_u_adjusted(O.passages(spark, d, "silver"), "grp", "silver", "provision_id", 20, "t1")
+    return got.select(*[F.round(c, 8).alias(c) for c in got.columns])
+
+
+@query()
+def block_slope(spark: SparkSession, d: str) -> DataFrame:
+    """Slope of rule support on the length of a passage over four levels of length, levels permuted as blocks of one draw a group."""
+    words = F.least(F.lit(4), F.ceil(F.coalesce("n_words", F.lit(0)) / 40)).cast("int")
+    rows = O.passages(spark, d, "n_words", "rule_support").groupBy("grp", words.alias("level")).agg((F.avg("rule_support") + 1).alias("v"))
+    got = R.block_slope(rows, "level", "v", 2000)
+    return got.select("n_levels", *[F.round(c, 8).alias(c) for c in got.columns[1:]])

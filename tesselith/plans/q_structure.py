@@ -11,6 +11,7 @@ from tesselith.operators import diffusion as D
 from tesselith.operators import passages as O
 from tesselith.operators import related
 from tesselith.plans import sqltext as S
+from tesselith.plans.lineage import materialise
 from tesselith.sources.tables import table
 
 Q, SQL = {}, {}
@@ -54,15 +55,17 @@ def toc_islands(spark: SparkSession, d: str) -> DataFrame:
 _MASKED = "regexp_replace(trim(line), '[0-9]+', '#', 'g')"
 
 
-@query(f"""WITH {S.PASSAGES}, {_LINES}, k AS (SELECT doc_id, {_MASKED} AS masked, count(DISTINCT provision_id) AS n_pages FROM l WHERE length({_MASKED}) > 3 AND length({_MASKED}) < 90 GROUP BY 1, 2),
+@query(f"""WITH {S.PASSAGES}, l AS (SELECT provision_id, doc_id, unnest(string_split(concat_ws(chr(10), replace(heading_path, ' > ', chr(10)), text), chr(10))) AS line FROM p WHERE text IS NOT NULL),
+k AS (SELECT doc_id, {_MASKED} AS masked, count(DISTINCT provision_id) AS n_pages FROM l WHERE length({_MASKED}) > 3 AND length({_MASKED}) < 90 GROUP BY 1, 2),
 n AS (SELECT doc_id, count(*) AS pages FROM p WHERE text IS NOT NULL GROUP BY 1)
 SELECT doc_id, masked, n_pages FROM k JOIN n USING (doc_id) WHERE n_pages >= greatest(3, 0.35 * pages)""")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that recur, digits masked, in many passages of one document."""
-    p = O.passages(spark, d, "doc_id", "text").where("text is not null")
+    """Lines that recur, digits masked, on many pages of one document; a page is a passage under its headings."""
+    p = O.passages(spark, d, "doc_id", "heading_path", "text").where("text is not null")
     pages = p.groupBy("doc_id").agg(F.count("*").alias("pages"))
     line = F.regexp_replace(F.trim("line"), "[0-9]+", "#")
-    rows = p.select("doc_id", "provision_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "provision_id", line.alias("masked"))
+    page = F.concat_ws("\n", F.replace("heading_path", F.lit(" > "), F.lit("\n")), "text")
+    rows = p.select("doc_id", "provision_id", F.explode(F.split(page, "\n")).alias("line")).select("doc_id", "provision_id", line.alias("masked"))
     counts = rows.where("length(masked) > 3 and length(masked) < 90").distinct().groupBy("doc_id", "masked").agg(F.count("*").alias("n_pages"))
     return counts.join(pages, "doc_id").where(F.col("n_pages") >= F.greatest(F.lit(3), 0.35 * F.col("pages"))).select("doc_id", "masked", "n_pages")
 
@@ -142,7 +145,7 @@ def near_dup_flags(spark: SparkSession, d: str) -> DataFrame:
 def near_dup_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """One Jaccard table at the lowest threshold serves all."""
     steps = [0.7, 0.8, 0.9]
-    pairs = _pairs(spark, d).where(F.col("j") >= steps[0]).withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("j"))))
+    pairs = materialise(_pairs(spark, d).where(F.col("j") >= steps[0]), "pairs").withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("j"))))
     ids = pairs.select("threshold", F.col("a").alias("id")).union(pairs.select("threshold", "b")).distinct().groupBy("threshold").agg(F.count("*").alias("n_passages"))
     total = O.passages(spark, d).agg(F.count("*").alias("total"))
     return pairs.groupBy("threshold").agg(F.count("*").alias("n_pairs")).join(ids, "threshold").crossJoin(F.broadcast(total)).select("threshold", "n_pairs", "n_passages", F.round(F.col("n_passages") / F.col("total"), 8).alias("share"))
@@ -182,16 +185,13 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
     return parts.where((F.col("k") > 0) & words.between(25, 400)).select("doc_id", F.col("k").cast("bigint").alias("k"), words.cast("bigint").alias("words"))
 
 
-_NAMES = "n AS (SELECT DISTINCT grp FROM p)"
+_WORDS_OF = "regexp_extract_all(lower(coalesce(doc_title, '') || ' ' || coalesce(source_url, '')), '[a-z]+')"
 
 
-@query(f"""WITH {S.PASSAGES}, {_NAMES}, h AS (SELECT p.provision_id, n.grp AS name, len(regexp_extract_all(lower(coalesce(p.doc_title, '') || ' ' || coalesce(p.source_url, '')), string_split(n.grp, ' ')[1])) AS hits FROM p, n),
-r AS (SELECT *, row_number() OVER (PARTITION BY provision_id ORDER BY hits DESC, name) k, lead(hits) OVER (PARTITION BY provision_id ORDER BY hits DESC, name) AS second FROM h) SELECT provision_id, name, hits::BIGINT AS hits FROM r WHERE k = 1 AND hits >= 1 AND hits >= 2 * coalesce(second, 0)""")
+@query(f"""WITH {S.PASSAGES}, n AS (SELECT regexp_extract(grp, '[a-z]+') AS word, min(grp) AS name FROM p WHERE regexp_matches(grp, '[a-z]') GROUP BY 1), w AS (SELECT provision_id, unnest({_WORDS_OF}) AS word FROM p),
+h AS (SELECT provision_id, name, count(*) AS hits FROM w JOIN n USING (word) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER v AS k, lead(hits) OVER v AS second FROM h WINDOW v AS (PARTITION BY provision_id ORDER BY hits DESC, name))
+SELECT provision_id, name, hits FROM r WHERE k = 1 AND hits >= 2 * coalesce(second, 0)""")
 def dominant_name(spark: SparkSession, d: str) -> DataFrame:
     """The group most named in a passage's title and address, if named twice as often as any other."""
     p = O.passages(spark, d, "doc_title", "source_url")
-    names = [r[0] for r in p.select("grp").distinct().orderBy("grp").collect()]  # the list of groups, a lexicon
-    t = F.lower(F.concat(T.blank(F.col("doc_title")), F.lit(" "), T.blank(F.col("source_url"))))
-    hits = F.array_sort(F.array(*[F.struct((-F.regexp_count(t, F.lit(n.split(" ")[0]))).alias("m"), F.lit(n).alias("name")) for n in names]))
-    best = p.select("provision_id", hits.alias("h")).select("provision_id", F.get("h", F.lit(0))["name"].alias("name"), (-F.get("h", F.lit(0))["m"]).cast("bigint").alias("hits"), F.coalesce(-F.get("h", F.lit(1))["m"], F.lit(0)).alias("second"))
-    return best.where((F.col("hits") >= 1) & (F.col("hits") >= 2 * F.col("second"))).select("provision_id", "name", "hits")
+    return O.dominant_name(p, "provision_id", F.concat_ws(" ", "doc_title", "source_url"), p.where(F.col("grp").rlike("[a-z]")), "grp", 1, 2)

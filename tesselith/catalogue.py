@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselith.plans import q_models, q_passages, q_segments, q_splits, q_statistics, q_streams, q_structure
+from tesselith.plans import q_annotation, q_models, q_passages, q_segments, q_splits, q_statistics, q_streams, q_structure
 
-MODULES = (q_passages, q_segments, q_structure, q_splits, q_statistics, q_streams, q_models)
+MODULES = (q_passages, q_segments, q_annotation, q_structure, q_splits, q_statistics, q_streams, q_models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -69,23 +69,22 @@ _CELLS = f"{S.PASSAGES}, c AS (SELECT grp, avg((modality[1] = 'MUST_NOT')::INT)
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Share of prohibitions, criminal less civil, by group; the largest twelve groups by name for the exact test."""
+    """Share of prohibitions, criminal less civil, by group."""
     hit = (F.get("modality", F.lit(0)) == "MUST_NOT").cast("int")
     rate = lambda x: F.avg(F.when(F.col("domain") == x, hit))
     return O.passages(spark, d, "domain", "modality", "doc_id").groupBy("grp").agg((rate("criminal") - rate("civil")).alias("diff"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(f"""WITH {_CELLS}, k AS (SELECT diff, row_number() OVER (ORDER BY grp) - 1 AS j FROM (SELECT * FROM c WHERE diff IS NOT NULL ORDER BY docs DESC, grp LIMIT 12)), i AS (SELECT unnest(range(0, 4096)) i),
-s AS (SELECT i, sum(CASE WHEN (i >> j) & 1 = 1 THEN diff ELSE -diff END) t FROM i, k GROUP BY 1), o AS (SELECT sum(diff) s, count(*) n FROM k)
-SELECT n, round(s / n, 8) AS mean, (SELECT count(*) FROM s, o WHERE abs(t) >= abs(s) - 1e-12) AS n_extreme, round(greatest((SELECT count(*) FROM s, o WHERE abs(t) >= abs(s) - 1e-12) / 4096.0, 2 / 4096.0), 8) AS p FROM o""")
-def signflip_exact(spark: SparkSession, d: str) -> DataFrame:
-    twelve = _cells(spark, d).where("diff is not null").orderBy(F.desc("docs"), "grp").limit(12)
-    return R.sign_flip_exact(twelve, "grp", "diff").select("n", F.round("mean", 8).alias("mean"), "n_extreme", F.round("p", 8).alias("p"))
+def _half(first: bool) -> str:
+    """Sums of all sign patterns of one half of the groups."""
+    size, bit, which = ("n // 2", "j", "j < n // 2") if first else ("n - n // 2", "(j - n // 2)", "j >= n // 2")
+    return f"(SELECT i, coalesce(sum(CASE WHEN (i >> {bit}) & 1 = 1 THEN diff ELSE -diff END), 0) t FROM (SELECT unnest(range((1::BIGINT << ({size}))::BIGINT)) i FROM o) LEFT JOIN (SELECT diff, j::BIGINT j, n FROM k, o WHERE {which}) ON true GROUP BY 1)"
 
 
-@query()
-def signflip_exact_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all groups that have both rates; listing 2^n patterns in SQL is too slow, so it has none."""
+@query(f"""WITH {_CELLS}, k AS (SELECT diff, row_number() OVER (ORDER BY grp) - 1 AS j FROM c WHERE diff IS NOT NULL), o AS (SELECT sum(diff) s, count(*) n FROM k), x AS {_half(True)}, y AS {_half(False)},
+e AS (SELECT count(*) m FROM x, y, o WHERE abs(x.t + y.t) >= abs(s) - 1e-12) SELECT n, round(s / n, 8) AS mean, m AS n_extreme, round(greatest(m, 2) / (2.0 ** n), 8) AS p FROM o, e""")
+def signflip_exact(spark: SparkSession, d: str) -> DataFrame:
+    """All sign patterns of all groups that have both rates, from the sums of two halves."""
     return R.sign_flip_halves(_cells(spark, d), "grp", "diff").select("n", F.round("mean", 8).alias("mean"), "n_extreme", F.round("p", 8).alias("p"))
 
 

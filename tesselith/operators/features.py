@@ -19,9 +19,11 @@ def top_per_group(df: DataFrame, by: str, order: list[Column], k: int) -> DataFr
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
 
-def grams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): words of two or more characters and their bigrams."""
+def grams(df: DataFrame, key: str, text: str, without: list[str] | None = None) -> DataFrame:
+    """(key, term, tf): words of two or more characters and their bigrams, counted inside the row; words of ``without`` are left out first."""
     words = F.regexp_extract_all(F.lower(blank(F.col(text))), F.lit(r"([a-z0-9_]{2,})"), 1)
+    if without:
+        words = F.filter(words, lambda w: ~w.isin(without))
 
     def both(w: Column) -> Column:
         pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))).otherwise(F.array().cast("array<string>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselith.operators.passages import by_hash
 from tesselith.operators.ranks import hash_rank
+from tesselith.plans.sizing import small
 
 
 def stratified_sample(df: DataFrame, n: int, strata: list[str], key: str, seed: str) -> DataFrame:
@@ -44,31 +45,73 @@ def even_chunks(df: DataFrame, key: str, k: int, seed: str, *by: str, name: str
     ranked = hash_rank(ids, [*by, "_all"], by_hash(seed, key), key, "_r")
     sizes = ids.groupBy(*by, "_all").agg(F.count("*").alias("_n"))
     # The first n % k chunks hold one more, as ntile does.
-    small, extra = F.floor(F.col("_n") / k), F.col("_n") % k
-    cut = extra * (small + 1)
-    chunk = F.when(F.col("_r") <= cut, F.floor((F.col("_r") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("_r") - 1 - cut) / F.greatest(small, F.lit(1))))
+    each, extra = F.floor(F.col("_n") / k), F.col("_n") % k
+    cut = extra * (each + 1)
+    chunk = F.when(F.col("_r") <= cut, F.floor((F.col("_r") - 1) / (each + 1))).otherwise(extra + F.floor((F.col("_r") - 1 - cut) / F.greatest(each, F.lit(1))))
     dealt = ranked.join(F.broadcast(sizes) if not by else sizes, [*by, "_all"]).select(*by, key, chunk.cast("int").alias(name))
     return df.join(dealt, [*by, key])
 
 
-def regimes(df: DataFrame, held_out: str, group: str, doc: str, key: str, fraction: float, seed: str, least: int = 5) -> DataFrame:
-    """Rows with ``role``: test rows of the held-out group, and three columns that tell which training set holds a row.
+def regimes(df: DataFrame, group: str, doc: str, key: str, fraction: float, seed: str, least: int = 5, held_out: list[str] | None = None) -> DataFrame:
+    """Rows for each group ``held`` out: whether a row is tested, and three columns that tell which training set holds it.
 
     random: any row that is no test row; doc: no row of a test document; group: no row of the group. The first two
-    are cut, in hash order, to the size of the third.
+    are cut, in hash order, to the size of the third. Every group is held out in turn, or those of ``held_out``.
     """
-    mine = F.col(group) == held_out
-    size = df.agg(F.count_if(mine).alias("_size"))
-    ranked = hash_rank(df, [group], by_hash(seed, key), key, "_r").crossJoin(F.broadcast(size))  # one row
-    rows = ranked.withColumn("test", mine & (F.col("_r") <= F.greatest(F.lit(least), F.round(F.col("_size") * fraction)))).drop("_r", "_size")
-    test_docs = rows.where("test").select(doc).distinct().withColumn("_t", F.lit(True))
-    rows = rows.join(test_docs, doc, "left").withColumn("_doc", ~F.col("test") & F.col("_t").isNull()).withColumn("_random", ~F.col("test")).withColumn("train_group", ~mine)
-    n = rows.agg(F.count_if("train_group").alias("_n"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col(group).isNotNull())
+    held = sizes.select(F.col(group).alias("held"), F.col("_n").alias("_size"))
+    if held_out is not None:
+        held = held.where(F.col("held").isin(held_out))
+    n_all = df.count()
+    ranked = hash_rank(df, [group], by_hash(seed, key), key, "_r")
+    rows = ranked.crossJoin(small(held))  # an experiment of its own for each group
+    mine = F.col(group).eqNullSafe(F.col("held"))
+    rows = rows.withColumn("test", mine & (F.col("_r") <= F.greatest(F.lit(least), F.round(F.col("_size") * fraction)))).withColumn("_n", n_all - F.col("_size")).drop("_r", "_size")
+    test_docs = rows.where("test").select("held", doc).distinct().withColumn("_t", F.lit(True))
+    rows = rows.join(test_docs, ["held", doc], "left").withColumn("_doc", ~F.col("test") & F.col("_t").isNull()).withColumn("_random", ~F.col("test")).withColumn("train_group", ~mine)
     order = by_hash(seed + "-train", key)
     for name in ("random", "doc"):
-        rows = hash_rank(rows, [f"_{name}"], order, key, f"_k{name}")
-    rows = rows.crossJoin(F.broadcast(n))
-    return rows.select(*df.columns, "test", *[(F.col(f"_{x}") & (F.col(f"_k{x}") <= F.col("_n"))).alias(f"train_{x}") for x in ("random", "doc")], "train_group")
+        rows = hash_rank(rows, ["held", f"_{name}"], order, key, f"_k{name}")
+    return rows.select("held", *df.columns, "test", *[(F.col(f"_{x}") & (F.col(f"_k{x}") <= F.col("_n"))).alias(f"train_{x}") for x in ("random", "doc")], "train_group")
+
+
+def matched_folds(df: DataFrame, label: str, doc_fold: str, key: str, k: int, seed: str, name: str = "fold") -> DataFrame:
+    """Folds of rows, and for every fold (column ``doc_fold``) a training set as large as the one that whole documents leave: (rows, ``name``, ``train_<f>``)."""
+    rows = stratified_folds(df, label, key, k, seed, name)
+    sizes = {r[0]: r[1] for r in df.groupBy(doc_fold).count().collect()}  # a row for each fold
+    n = sum(sizes.values())
+    for f in range(k):
+        inside = rows.withColumn("_out", F.col(name) != f)
+        rows = hash_rank(inside, ["_out"], by_hash(f"{seed}-{f}", key), key, "_k").withColumn(f"train_{f}", F.col("_out") & (F.col("_k") <= n - sizes.get(f, 0))).drop("_out", "_k")
+    return rows
+
+
+def unseen(df: DataFrame, label: str, fold: str) -> DataFrame:
+    """(fold, n): values of ``label`` that stand in one fold alone, so that the other folds cannot teach them."""
+    seen = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(fold).alias("_a"), F.max(fold).alias("_b")).where("_a = _b")
+    return seen.groupBy(F.col("_a").alias("fold")).agg(F.count("*").alias("n"))
+
+
+def retried_folds(df: DataFrame, label: str, doc: str, k: int, seed: str, tries: int = 20) -> tuple[DataFrame, int]:
+    """Document folds by label value, dealt anew (at most ``tries`` times) until no value stands in one fold alone; the folds and the number of the try."""
+    for t in range(tries):
+        got = value_document_folds(df, label, doc, k, f"{seed}-{t}")
+        if not unseen(got, label, "fold").limit(1).count():
+            break
+    return got, t
+
+
+def fold_count(k: int) -> int:
+    """Folds for ``k`` documents a value."""
+    return min(4, k)
+
+
+def deepest_dose(df: DataFrame, value: str, doc: str, rows: int, values: int = 4, most: int = 20) -> tuple[int, DataFrame]:
+    """(the largest number of documents that ``values`` values have, documents counting from ``rows`` rows on; the ``most`` values with most documents)."""
+    docs = df.groupBy(value, doc).agg(F.count("*").alias("_n")).where(F.col("_n") >= rows).groupBy(value).agg(F.count("*").alias("n_docs"))
+    first = docs.orderBy(F.desc("n_docs"), value).limit(most)
+    top = [r.n_docs for r in first.limit(values).collect()]
+    return (top[-1] if len(top) == values else 0), first
 
 
 def dose_draw(df: DataFrame, value: str, doc: str, key: str, m: int, target: int, seed: str) -> DataFrame:

@@ -49,28 +49,51 @@ def even_chunks(spark: SparkSession, d: str) -> DataFrame:
     return X.even_chunks(O.passages(spark, d, "doc_id"), "doc_id", 4, "s5").select("doc_id", "fold").distinct()
 
 
-_HELD = "talvenna band"
-_REG = f"""{S.PASSAGES}, a AS (SELECT *, grp = '{_HELD}' mine, row_number() OVER (PARTITION BY grp ORDER BY {S.order('s6', 'provision_id')}, provision_id) k, count(*) OVER (PARTITION BY grp) n FROM p),
-b AS (SELECT *, mine AND k <= greatest(5, round(n * 0.3)) AS test FROM a), c AS (SELECT *, doc_id IN (SELECT doc_id FROM b WHERE test) AS tdoc FROM b), z AS (SELECT count(*) z FROM c WHERE NOT mine),
-e AS (SELECT *, row_number() OVER (PARTITION BY NOT test ORDER BY {S.order('s6-train', 'provision_id')}, provision_id) kr, row_number() OVER (PARTITION BY NOT test AND NOT tdoc ORDER BY {S.order('s6-train', 'provision_id')}, provision_id) kd FROM c),
-g AS (SELECT provision_id, test, NOT test AND kr <= z AS train_random, NOT test AND NOT tdoc AND kd <= z AS train_doc, NOT mine AS train_group FROM e, z)"""
+_REG = f"""{S.PASSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {S.order('s6', 'provision_id')}, provision_id) k, count(*) OVER (PARTITION BY grp) n FROM p), h AS (SELECT grp AS held, count(*) AS hn FROM p WHERE grp IS NOT NULL GROUP BY 1),
+b AS (SELECT h.held, h.hn, r.provision_id, r.doc_id, grp IS NOT DISTINCT FROM held AS mine, grp IS NOT DISTINCT FROM held AND k <= greatest(5, round(n * 0.3)) AS test FROM r, h), t AS (SELECT DISTINCT held, doc_id FROM b WHERE test),
+c AS (SELECT b.*, t.doc_id IS NOT NULL AS tdoc, (SELECT count(*) FROM p) - hn AS z FROM b LEFT JOIN t ON t.held = b.held AND t.doc_id = b.doc_id),
+e AS (SELECT *, row_number() OVER (PARTITION BY held, NOT test ORDER BY {S.order('s6-train', 'provision_id')}, provision_id) kr, row_number() OVER (PARTITION BY held, NOT test AND NOT tdoc ORDER BY {S.order('s6-train', 'provision_id')}, provision_id) kd FROM c),
+g AS (SELECT held, provision_id, test, NOT test AND kr <= z AS train_random, NOT test AND NOT tdoc AND kd <= z AS train_doc, NOT mine AS train_group FROM e)"""
 
 
-@query(f"WITH {_REG} SELECT count_if(test)::BIGINT AS n_test, count_if(train_random)::BIGINT AS n_random, count_if(train_doc)::BIGINT AS n_doc, count_if(train_group)::BIGINT AS n_group FROM g")
+@query(f"WITH {_REG} SELECT held, count_if(test)::BIGINT AS n_test, count_if(train_random)::BIGINT AS n_random, count_if(train_doc)::BIGINT AS n_doc, count_if(train_group)::BIGINT AS n_group FROM g GROUP BY 1")
 def regimes_sizes(spark: SparkSession, d: str) -> DataFrame:
-    r = _regimes(spark, d)
+    """Sizes of the test set and the three training sets, every group held out in turn."""
+    r = _regimes(spark, d).groupBy("held")
     return r.agg(F.count_if("test").alias("n_test"), F.count_if("train_random").alias("n_random"), F.count_if("train_doc").alias("n_doc"), F.count_if("train_group").alias("n_group"))
 
 
 def _regimes(spark: SparkSession, d: str) -> DataFrame:
-    return X.regimes(O.passages(spark, d, "doc_id"), _HELD, "grp", "doc_id", "provision_id", 0.3, "s6")
+    return X.regimes(O.passages(spark, d, "doc_id"), "grp", "doc_id", "provision_id", 0.3, "s6")
 
 
-@query(f"WITH {_REG} SELECT count_if(train_doc AND NOT train_group)::BIGINT AS doc_only, count_if(train_group AND NOT train_doc)::BIGINT AS group_only, count_if(train_doc AND NOT train_group) + count_if(train_group AND NOT train_doc) = 0 AS identical FROM g")
+@query(f"WITH {_REG} SELECT held, count_if(train_doc AND NOT train_group)::BIGINT AS doc_only, count_if(train_group AND NOT train_doc)::BIGINT AS group_only, count_if(train_doc AND NOT train_group) + count_if(train_group AND NOT train_doc) = 0 AS identical FROM g GROUP BY 1")
 def regime_overlap(spark: SparkSession, d: str) -> DataFrame:
-    r = _regimes(spark, d)
+    """Whether leaving out the test documents and leaving out the group give one training set, for every group."""
     a, b = F.count_if(F.col("train_doc") & ~F.col("train_group")), F.count_if(F.col("train_group") & ~F.col("train_doc"))
-    return r.agg(a.alias("doc_only"), b.alias("group_only"), (a + b == 0).alias("identical"))
+    return _regimes(spark, d).groupBy("held").agg(a.alias("doc_only"), b.alias("group_only"), (a + b == 0).alias("identical"))
+
+
+@query(f"WITH {S.PASSAGES}, f AS (SELECT provision_id, silver, heading_path, ((row_number() OVER (PARTITION BY silver ORDER BY {S.order('s11', 'provision_id')}, provision_id) - 1) % 4)::INT AS fold FROM p) SELECT fold::BIGINT AS fold, count(*) AS n FROM (SELECT heading_path, min(fold) fold FROM f WHERE heading_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT fold) = 1) GROUP BY 1")
+def unseen_values(spark: SparkSession, d: str) -> DataFrame:
+    """Heading paths that stand in one fold alone, so that a model of the other folds has never seen them."""
+    f = X.stratified_folds(O.passages(spark, d, "silver", "heading_path"), "silver", "provision_id", 4, "s11")
+    return X.unseen(f, "heading_path", "fold").select(F.col("fold").cast("bigint").alias("fold"), "n")
+
+
+@query(f"WITH {S.PASSAGES}, f AS (SELECT grp, doc_id, ((row_number() OVER (PARTITION BY grp ORDER BY {S.order('s12', 'doc_id')}, doc_id) - 1) % 4)::INT AS df FROM (SELECT DISTINCT grp, doc_id FROM p)), n AS (SELECT df, (SELECT count(*) FROM p) - count(*) AS left_ FROM p JOIN f USING (grp, doc_id) GROUP BY 1), k AS (SELECT ((row_number() OVER (PARTITION BY grp ORDER BY {S.order('s12', 'provision_id')}, provision_id) - 1) % 4)::INT AS fold FROM p), r AS (SELECT fold, (SELECT count(*) FROM k) - count(*) AS most FROM k GROUP BY 1) SELECT df::BIGINT AS fold, least(left_, most) AS n_train FROM n JOIN r ON r.fold = n.df")
+def matched_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows of every fold of rows when it is cut to what the fold of documents leaves."""
+    df = X.document_folds(O.passages(spark, d, "doc_id"), "grp", "doc_id", 4, "s12", "doc_fold")
+    rows = X.matched_folds(df, "grp", "doc_fold", "provision_id", 4, "s12")
+    return rows.select(F.posexplode(F.array(*[F.col(f"train_{f}") for f in range(4)])).alias("fold", "t")).groupBy(F.col("fold").cast("bigint").alias("fold")).agg(F.count_if("t").alias("n_train"))
+
+
+@query(f"WITH {S.PASSAGES}, v AS (SELECT grp, count(*) AS n_docs FROM (SELECT grp, doc_id FROM p GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT grp, n_docs, (SELECT min(n_docs) FROM (SELECT n_docs FROM v ORDER BY n_docs DESC LIMIT 4) HAVING count(*) = 4)::BIGINT AS deepest FROM v")
+def deepest_dose(spark: SparkSession, d: str) -> DataFrame:
+    """The groups with most documents of five passages or more, and how many documents four of them have."""
+    k, first = X.deepest_dose(O.passages(spark, d, "doc_id"), "grp", "doc_id", 5)
+    return first.withColumn("deepest", F.lit(k).cast("bigint"))
 
 
 @query(f"""WITH {S.PASSAGES}, c AS (SELECT silver, doc_id FROM p GROUP BY 1, 2 HAVING count(*) >= 5), k AS (SELECT silver, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY silver ORDER BY md5(concat_ws('|', 's7', silver, doc_id)), doc_id) r FROM c) WHERE r <= 4),

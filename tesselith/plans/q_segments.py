@@ -36,7 +36,7 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
     opener = F.concat(F.lit("Section "), T.blank(F.col("section")), F.lit(". "), T.blank(F.col("heading")))
     row = p.select("doc_id", F.row_number().over(w).alias("k"), F.concat_ws("\n", F.when(new, heads), opener, "text").alias("block"), opener.alias("entry"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), "\n")
-    return row.groupBy("doc_id").agg(F.concat(F.lit("TABLE OF CONTENTS\n"), joined("entry"), F.lit("\n\n"), joined("block")).alias("text"))
+    return row.groupBy("doc_id").agg(F.concat(F.lit("TABLE OF CONTENTS\n"), joined("entry"), F.lit("\n\nText of the code\n"), joined("block")).alias("text"))
 
 
 _UNIT = "upper(regexp_extract({0}, '^([A-Za-z]+) ', 1)) || ' ' || regexp_extract({0}, '^[A-Za-z]+ +(\\S+)', 1) || {1} || regexp_extract({0}, '^[A-Za-z]+ +\\S+ *(.*)$', 1)"
@@ -44,7 +44,7 @@ _OPENED = "'Section ' || coalesce(section, '') || '. ' || coalesce(heading, '')"
 _CODES = f"""{S.PASSAGES}, b AS (SELECT doc_id, row_number() OVER w AS k, {_OPENED} AS entry, concat_ws(chr(10), CASE WHEN heading_path IS NOT NULL AND heading_path IS DISTINCT FROM lag(heading_path) OVER w THEN
   concat_ws(chr(10), {_UNIT.format("string_split(heading_path, ' > ')[1]", 'chr(10)')}, nullif(array_to_string([{_UNIT.format('x', "' '")} FOR x IN string_split(heading_path, ' > ')[2:]], chr(10)), '')) END, {_OPENED}, text) AS block
   FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY char_offset, provision_id)),
-src AS (SELECT doc_id, 'TABLE OF CONTENTS' || chr(10) || string_agg(entry, chr(10) ORDER BY k) || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY k) AS text FROM b GROUP BY 1)"""
+src AS (SELECT doc_id, 'TABLE OF CONTENTS' || chr(10) || string_agg(entry, chr(10) ORDER BY k) || chr(10) || chr(10) || 'Text of the code' || chr(10) || string_agg(block, chr(10) ORDER BY k) AS text FROM b GROUP BY 1)"""
 _DOCS = "src AS (SELECT doc_id, text FROM documents)"
 _TAIL = "trim(regexp_replace(regexp_replace(trim(line), '(?i)" + P.SECTION_LINE + "', '', 'g'), '^[ .:–-]+|[ .:–-]+$', '', 'g'))"
 _TOC = f"(trim(line) <> '' AND (regexp_matches(trim(line), '{P.DOT_LEADER}') OR (length(trim(line)) <= 95 AND regexp_matches(trim(line), '(?i){P.SECTION_LINE}') AND ({S.n_words(_TAIL)}) <= 9 AND NOT regexp_matches(trim(line), '[.;:]$'))))"

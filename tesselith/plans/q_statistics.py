@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselith.functions import patterns as P
+from tesselith.functions import text as T
 from tesselith.operators import features as V
 from tesselith.operators import measures as M
 from tesselith.operators import passages as O
+from tesselith.operators import pools as L
 from tesselith.operators import resample as R
 from tesselith.plans import sqltext as S
 from tesselith.plans.sizing import small
@@ -328,3 +332,39 @@ def block_slope(spark: SparkSession, d: str) -> DataFrame:
     rows = O.passages(spark, d, "n_words", "rule_support").groupBy("grp", words.alias("level")).agg((F.avg("rule_support") + 1).alias("v"))
     got = R.block_slope(rows, "level", "v", 2000)
     return got.select("n_levels", *[F.round(c, 8).alias(c) for c in got.columns[1:]])
+
+
+def _nest_sql(label: str) -> str:
+    return f"""(SELECT '{label}' AS label, round((hl.h - hg.h) / nullif(hl.h, 0), 8) AS u, hl.n AS n_rows FROM (SELECT ln(sum(n)) - sum(n * ln(n)) / sum(n) h, sum(n)::BIGINT n FROM (SELECT count(*) n FROM p WHERE {label} IS NOT NULL GROUP BY {label})) hl,
+(SELECT sum(h * m) / sum(m) h FROM (SELECT doc_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) h, sum(n) m FROM (SELECT doc_id, {label}, count(*) n FROM p WHERE {label} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)) hg)"""
+
+
+@query(f"WITH p AS (SELECT doc_id, grp, silver, domain, coalesce(modality[1], 'NONE') AS first_modality FROM (WITH {S.PASSAGES} SELECT * FROM p)) " + " UNION ALL ".join(f"SELECT * FROM {_nest_sql(x)}" for x in ("grp", "silver", "first_modality", "domain")))
+def label_nesting(spark: SparkSession, d: str) -> DataFrame:
+    """How far documents fix each of four labels: Theil's U by document."""
+    p = O.passages(spark, d, "doc_id", "silver", "domain", "modality").withColumn("first_modality", F.coalesce(F.get("modality", F.lit(0)), F.lit("NONE")))
+    parts = [M.theil_u(p, "doc_id", x).crossJoin(F.broadcast(p.agg(F.count(x).alias("n_rows")))).select(F.lit(x).alias("label"), F.round("u", 8).alias("u"), "n_rows") for x in ("grp", "silver", "first_modality", "domain")]  # one row each
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_BORROWED = f"({S.rx('coalesce(text, ' + chr(39) * 2 + ')', P.EXTERNAL)} OR {S.rx('coalesce(text, ' + chr(39) * 2 + ')', P.BLANKS)})"
+
+
+@query(f"""WITH {S.PASSAGES}, c AS (SELECT condition, grp, avg({_BORROWED}::INT) FILTER (WHERE domain = 'civil') - avg({_BORROWED}::INT) FILTER (WHERE domain = 'criminal') AS diff FROM (SELECT 'all' AS condition, * FROM p UNION ALL SELECT 'no_copies', * FROM p WHERE NOT coalesce(xnation_dup, false) UNION ALL SELECT 'no_scans', * FROM p WHERE NOT coalesce(ocr, false)) GROUP BY 1, 2),
+k AS (SELECT condition, grp, diff FROM c WHERE diff IS NOT NULL), s AS (SELECT condition, rep, sum(CASE WHEN substr(md5(concat_ws('|', 'a1', rep, grp)), 1, 1) < '8' THEN diff ELSE -diff END) t FROM k, (SELECT unnest(range(5000)) rep) GROUP BY 1, 2), o AS (SELECT condition, sum(diff) s, count(*) n FROM k GROUP BY 1)
+SELECT condition, n, round(o.s / n, 8) AS mean, round((1 + count_if(abs(t) >= abs(o.s) - 1e-12)) / 5001.0, 8) AS p FROM s JOIN o USING (condition) GROUP BY condition, n, o.s""")
+def adoption_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Borrowed drafting, civil less criminal by group, under three conditions of one scan, with a sign-flip test."""
+    p = O.passages(spark, d, "text", "domain", "xnation_dup", "ocr").select("grp", "domain", T.borrowed(F.col("text")).cast("int").alias("b"), F.coalesce("xnation_dup", F.lit(False)).alias("dup"), F.coalesce("ocr", F.lit(False)).alias("scan"))
+    rows = L.conditions(p, {"all": F.lit(True), "no_copies": ~F.col("dup"), "no_scans": ~F.col("scan")})
+    rate = lambda x: F.avg(F.when(F.col("domain") == x, F.col("b")))
+    cells = rows.groupBy("condition", "grp").agg((rate("civil") - rate("criminal")).alias("diff"))
+    parts = [R.sign_flip(cells.where(F.col("condition") == c), "grp", "diff", 5000, "a1").select(F.lit(c).alias("condition"), "n", F.round("mean", 8).alias("mean"), F.round("p", 8).alias("p")) for c in ("all", "no_copies", "no_scans")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {S.PASSAGES}, k AS (SELECT grp, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws('|', 'h1', grp, doc_id)), doc_id) r FROM (SELECT DISTINCT grp, doc_id FROM p WHERE text IS NOT NULL AND trim(text) <> '')) WHERE r <= 3) SELECT p.grp AS label, count(*) AS n, count(DISTINCT p.doc_id) AS n_docs FROM p JOIN k ON k.grp = p.grp AND k.doc_id = p.doc_id WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY 1")
+def pool_quota(spark: SparkSession, d: str) -> DataFrame:
+    """A pool with three documents of each group."""
+    pool = L.adapted(O.passages(spark, d, "doc_id", "text"), F.col("grp"), F.col("doc_id"), F.col("text"))
+    return L.quota(pool, 3, "h1").groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))

@@ -10,6 +10,7 @@ from tesselith.functions import text as T
 from tesselith.operators import diffusion as D
 from tesselith.operators import passages as O
 from tesselith.operators import related
+from tesselith.operators import resample as R
 from tesselith.plans import sqltext as S
 from tesselith.plans.lineage import materialise
 from tesselith.sources.tables import table
@@ -163,6 +164,18 @@ def reuse_rates(spark: SparkSession, d: str) -> DataFrame:
     return O.passages(spark, d, "domain").join(ids, "provision_id", "left").groupBy("grp", F.coalesce("domain", F.lit("-")).alias("dom")).agg(F.count("hit").alias("hits"), F.count("*").alias("total"))
 
 
+@query(f"""WITH {_PAIRS}, near AS (SELECT a id FROM j WHERE j >= 0.8 UNION SELECT b FROM j WHERE j >= 0.8), rate AS (SELECT grp, avg((near.id IS NOT NULL)::INT) FILTER (WHERE domain = 'civil') - avg((near.id IS NOT NULL)::INT) FILTER (WHERE domain = 'criminal') AS diff FROM p LEFT JOIN near ON near.id = p.provision_id GROUP BY 1),
+gap AS (SELECT grp, diff FROM rate WHERE diff IS NOT NULL), flip AS (SELECT rep, sum(CASE WHEN substr(md5(concat_ws('|', 'd1', rep, grp)), 1, 1) < '8' THEN diff ELSE -diff END) t FROM gap, (SELECT unnest(range(5000)) rep) GROUP BY 1), obs AS (SELECT sum(diff) d, count(*) n FROM gap)
+SELECT n, round(d / n, 8) AS mean, round((1 + (SELECT count(*) FROM flip, obs WHERE abs(t) >= abs(d) - 1e-12)) / 5001.0, 8) AS p FROM obs""")
+def reuse_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Share of passages with a near-duplicate elsewhere, civil less criminal inside each group, with a sign-flip test."""
+    ids = D.involved(_pairs(spark, d).where("j >= 0.8")).select(F.col("id").alias("provision_id"), F.lit(1).alias("hit"))
+    rows = O.passages(spark, d, "domain").join(ids, "provision_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    rate = lambda x: F.avg(F.when(F.col("domain") == x, F.col("hit")))
+    got = R.sign_flip(rows.groupBy("grp").agg((rate("civil") - rate("criminal")).alias("diff")), "grp", "diff", 5000, "d1")
+    return got.select("n", F.round("mean", 8).alias("mean"), F.round("p", 8).alias("p"))
+
+
 @query(f"""WITH RECURSIVE h AS (SELECT DISTINCT lower(trim(doc_id)) src, lower(trim(reprint_of)) dst FROM harvest_docs WHERE reprint_of IS NOT NULL AND lower(trim(doc_id)) <> lower(trim(reprint_of))),
 seeds AS (SELECT DISTINCT src AS node FROM h WHERE src NOT IN (SELECT dst FROM h)),
 r(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT h.dst, r.depth + 1 FROM r JOIN h ON h.src = r.node WHERE r.depth < 3)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from tesselith.functions import patterns as P
 from tesselith.functions.text import blank, host, url_key
 
 _SKIP = frozenset(("script", "style", "nav", "header", "footer", "aside", "noscript", "form", "template"))
@@ -84,6 +85,13 @@ def challenged(html: Column) -> Column:
     return F.substring(blank(html), 1, 1500).contains("Just a moment")
 
 
+def probe_score(html: Column) -> Column:
+    """How much a page speaks of procedure: its cues of both domains; a challenge has none."""
+    t = blank(html)
+    cues = F.regexp_count(t, F.lit(f"(?i){P.CRIMINAL_CUES}")) + F.regexp_count(t, F.lit(f"(?i){P.CIVIL_CUES}"))
+    return F.when(challenged(html), 0).otherwise(cues)
+
+
 def best_probe(probes: DataFrame, by: str, order: str, score: str) -> DataFrame:
     """The best of the first three links of every group; of equal scores the earlier link."""
     return probes.where(F.col(order) < 3).groupBy(by).agg(F.min_by(F.struct(*probes.columns), F.struct(-F.col(score), F.col(order))).alias("r")).select("r.*")
@@ -115,8 +123,9 @@ def allowed(links: DataFrame, robots: DataFrame, agent: str, href: str = "href")
     return rows.where(may(F.col(href), F.col("robots_txt"))).drop("_host", "robots_txt")
 
 
-def fetch_missing(urls: DataFrame, stored: DataFrame, fetch: Callable[[str], tuple[int, str]], pause: float = 0.5) -> DataFrame:
-    """(url, key, status, body) of addresses that ``stored`` (key) lacks, read by ``fetch``; a host's pages stay in one partition and wait for each other."""
+def fetch_missing(urls: DataFrame, stored: DataFrame, fetch: Callable[[str], tuple[int, str]], pause: float = 0.5, skip: str | None = None) -> DataFrame:
+    """(url, key, status, body) of addresses that ``stored`` (key) lacks, read by ``fetch``; a host's pages stay in one partition and wait for each other; addresses that match ``skip`` are left out."""
+    urls = urls if skip is None else urls.where(~F.col("url").rlike(f"(?i){skip}"))
     todo = urls.select("url").distinct().withColumn("key", url_key(F.col("url"))).join(stored.select("key").distinct(), "key", "left_anti")
     todo = todo.repartition(host(F.col("url"))).sortWithinPartitions(host(F.col("url")), "url")
 

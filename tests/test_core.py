@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
-from tesselith.operators import diffusion, measures, models, passages, ranks, related, resample, splits
+from tesselith.operators import annotation, diffusion, measures, models, passages, pools, ranks, related, resample, segments, splits
 from tesselith.sources import pages, records
 from tesselith.streaming import arrivals
 
@@ -122,7 +122,10 @@ def test_folds_are_whole_and_independent_of_partitions(spark):
     assert got.count() == 200 and got.groupBy("doc").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
     a, b = (splits.stratified_folds(x, "lab", "id", 5, "s").select("id", "fold").toPandas().sort_values("id").to_numpy().tolist() for x in (df, df.repartition(7)))
     assert a == b
-    r = splits.regimes(df, "g1", "grp", "doc", "id", 0.3, "s").toPandas()
+    every = splits.regimes(df, "grp", "doc", "id", 0.3, "s")
+    assert every.select("held").distinct().count() == 5 and every.count() == 5 * 200
+    r = splits.regimes(df, "grp", "doc", "id", 0.3, "s", held_out=["g1"]).toPandas()
+    assert r.equals(every.where("held = 'g1'").select(*r.columns).toPandas().set_index("id").loc[r["id"]].reset_index()[list(r.columns)])
     test_docs = set(r[r.test].doc)
     assert not (r.test & r.train_random).any() and not set(r[r.train_doc].doc) & test_docs and not (r[r.train_group].grp == "g1").any()
     assert r.train_random.sum() <= r.train_group.sum()
@@ -153,6 +156,136 @@ def test_planted_signal(spark):
     assert min(clear.values()) > 0.9  # the label is carried by the text everywhere
 
 
+def test_terms_of_training_rows_are_masked(spark):
+    rows = [(f"{g}{i}", g, f"{g}{i % 4}", f"the {g}word clerk number{i % 5} keeps the file of the court") for g in ("ab", "cd") for i in range(24)]
+    df = spark.createDataFrame(rows, "provision_id string, grp string, doc_id string, text string")
+    got = {x: models.probe(df, "grp", "grp", "doc_id", "provision_id", 2, level=x).where("split = 'random'").first() for x in (0, 3)}
+    assert got[0].macro_f1 == 1.0 and got[3].macro_f1 < 0.7 and got[0].mean_fold_f1 == 1.0 and got[0].unseen == 0
+    assert "abword" in models.group_terms(df, "grp", "text") and models.fit_predict(*[models.vectors(df.withColumn("f", F.lit(True)), "f", models.hashed(df, "provision_id", "text"))] * 2, "grp", "provision_id", "svm").where("t = p").count() == 48
+
+
+def test_matched_and_retried_folds(spark):
+    df = _rows(spark).withColumn("doc", F.concat("grp", "doc"))
+    docs = splits.document_folds(df, "grp", "doc", 4, "s", "doc_fold")
+    got = splits.matched_folds(docs, "lab", "doc_fold", "id", 4, "s").toPandas()
+    left = 200 - docs.groupBy("doc_fold").count().toPandas().set_index("doc_fold")["count"]
+    assert all(got[f"train_{f}"].sum() == min(left[f], (got.fold != f).sum()) and not (got[f"train_{f}"] & (got.fold == f)).any() for f in range(4))
+    few = spark.createDataFrame([(f"{v}{d}-{i}", v, f"{v}{d}") for v in "xy" for d in range(3) for i in range(2)], "id string, lab string, doc string")
+    folds, tries = splits.retried_folds(few, "lab", "doc", 2, "s")
+    assert splits.unseen(folds, "lab", "fold").count() == 0 and tries < 20 and splits.fold_count(9) == 4
+    assert splits.deepest_dose(few, "lab", "doc", 2, values=2)[0] == 3 and splits.deepest_dose(few, "lab", "doc", 3, values=2)[0] == 0
+
+
+CODE = """TABLE OF CONTENTS
+Section 1-01. Court opens
+Section 1-02. Clerk keeps
+Section 1-03. Judge sits
+Section 1-04. Fees due
+
+Text of the code
+TITLE 4
+Civil Actions
+CHAPTER 2 Service
+Section 1-01. Court opens
+The court shall open at nine on every day of the week but for the days of rest. [History: Ord. 5-1990]
+Section 1-02. The clerk must keep the record of every case that comes before the court of the tribe.
+It may be read.
+TITLE 5 Fees
+§ 1-03 - Fees due
+A fee is due when the paper has been filed with the clerk of the court in the village.
+Rule 9
+too short
+"""
+
+
+def test_documents_are_cut_into_passages(spark):
+    plain = "Court Opens Early\nThe court shall open at nine on every day of the week but for the days of rest.\nClerk Keeps Records\nThe clerk must keep the record of every case that comes before the court of the tribe.\nNo body here\nshort"
+    df = spark.createDataFrame([("d", CODE), ("t", plain), ("n", None), ("e", ""), ("r", CODE.split("TITLE 5")[0].split("CHAPTER 2 Service\n")[1] * 2)], "doc_id string, text string").withColumn("pos", F.lit("x")).withColumn("_k", F.lit(1))
+    got = {r.provision_id: r for r in segments.provisions(df, "doc_id").collect()}
+    assert set(got) == {"d-0000", "d-0001", "d-0002", "t-0000", "t-0001", "r-0000", "r-0001"}  # repeats in a document count once
+    a, b, c = (got[f"d-000{i}"] for i in range(3))
+    assert (a.section, a.heading, a.path, a.history) == ("1-01", "Court opens", "Title 4 Civil Actions > Chapter 2 Service", "Ord. 5-1990") and a.text.endswith("days of rest.")
+    assert (b.heading, b.text.split("\n")[1]) == ("", "It may be read.\nTITLE 5 Fees".split("\n")[0]) and (c.section, c.heading, c.path) == ("1-03", "Fees due", "Title 5 Fees")
+    assert (got["t-0001"].heading, got["t-0001"].unnumbered) == ("Clerk Keeps Records", True) and CODE[a.off :].startswith("Section 1-01")
+    assert segments.provisions(df.limit(0), "doc_id").count() == 0
+
+
+def test_names_are_masked_as_whole_words(spark):
+    t = "The Court hears Ann O'Neil-Smith. Smith-Jones asks; Judges of Utah\n  Talvenna agree: Zed's"
+    assert one(spark, T.redact_names(F.col("t")), t=t) == "The Court hears §NAME §NAME. Smith-Jones asks; Judges of §NAME\n  Talvenna agree: Zed's"
+    assert one(spark, T.group_name(F.col("a")), a="Orrisk Nation of the Deep Reservation") == "Orrisk Nation"
+
+
+def test_gold_and_replies(spark):
+    rows = [(0, "p1", None, "A", "A", "A"), (1, "p2", "B", "B", None, "INSUFFICIENT_CONTEXT"), (2, "p1", None, "A", "A", "B"), (3, "p2", None, None, "C", "C"), (4, "p3", "A", "A", "B", "A")]
+    df = spark.createDataFrame(rows, "i int, provision_id string, suggested string, rule string, model string, label string")
+    assert {r.provision_id: r.gold for r in annotation.gold(df, "provision_id").collect()} == {"p1": "A", "p2": "C", "p3": "A"}
+    assert {(r.provision_id, r.first, r.second, r.blind) for r in annotation.repeats(df, "provision_id").collect()} == {("p1", "A", "B", True), ("p2", "INSUFFICIENT_CONTEXT", "C", False)}
+    agree = {r.shown: r for r in annotation.agreement(df, "rule", "model").collect()}
+    assert (agree["blind"].n, agree["blind"].rule_n, agree["blind"].rule_rate) == (3, 2, 0.5) and agree["suggested"].accepted == 1.0
+    texts = spark.createDataFrame([("a", "Hello\n[1] A\n[2] Z\n[1] B\n\n[3] B"), ("b", None)], "tag string, text string")
+    answers, counts = annotation.replies(texts, "tag", "text", ["A", "B"])
+    assert {(r.n, r.label) for r in answers.collect()} == {(1, "A"), (3, "B")} and [(r.n_answers, r.n_bad) for r in counts.collect()] == [(2, 3)]
+    index = spark.createDataFrame([("a", 1, "A"), ("a", 2, "B")], "tag string, n int, gold string")
+    assert {(r.n, r.pred) for r in annotation.answered(index, answers).collect()} == {(1, "A"), (2, None)}
+    shot = annotation.zero_shot(spark.createDataFrame([("p", "this text states prohibition"), ("q", None)], "k string, text string"), "k", "text", annotation.HYPOTHESES)
+    assert {r.k: r.label for r in shot.collect()}["p"] == "PROHIBITION" and all(abs(sum(r.probs.values()) - 1) < 1e-9 for r in shot.collect())
+
+
+def test_resampling_with_known_answers(spark):
+    same = spark.createDataFrame([(f"g{i}", "a", "a", "b") for i in range(6)], "g string, t string, one string, two string")
+    b = resample.paired_bootstrap(same, "g", "t", "one", "two", 20, "s")
+    got = resample.paired_interval(b).first()
+    assert got.f1_one_low == 1.0 and got.ratio_low is None and got.gap_p == pytest.approx(2 / 21)
+    assert resample.row_bootstrap(same, "t", "one", 7, "s").agg(F.min("macro_f1"), F.count("*")).first() == (1.0, 7)
+    d = resample.draws(same, "g", 50, "s").groupBy("rep").agg(F.sum("m").alias("m")).toPandas()
+    assert len(d) == 50 and (d.m == 6).all()  # as many draws as clusters
+    assert resample.draws(same.limit(0), "g", 5, "s").count() == 0
+    slopes = spark.createDataFrame([(m, float(m) ** -0.5) for m in (1, 2, 4, 8) for _ in range(3)], "m int, v double")
+    s = resample.block_slope(slopes, "m", "v", 50).first()
+    assert s.slope == pytest.approx(-0.5) and s.p == pytest.approx(2 / 24) and s.low == pytest.approx(-0.5)
+    eq = resample.equivalence(spark.createDataFrame([(f"g{i}", 0.01 * (i % 3 - 1)) for i in range(12)], "g string, d double"), "g", "d", 0.2, 400, "s").first()
+    assert eq.equivalent and eq.n == 12
+    assert resample.divergence_floor({"a": 5, "b": 5}, 20, 30, "s", spark).where("jsd >= 0 and jsd <= 1").count() == 30
+    ranked = measures.average_ranks(spark.createDataFrame([(x,) for x in (3.0, 1.0, 3.0, 2.0, None)], "v double"), "v", "r").collect()
+    assert sorted((x.v, x.r) for x in ranked if x.v) == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
+    u = measures.theil_u_adjusted(spark.createDataFrame([(f"r{i}", f"d{i % 4}", f"l{i % 4}") for i in range(40)], "k string, g string, l string"), "g", "l", "k", 9, "s").first()
+    assert u.u == pytest.approx(1.0) and u.adjusted == pytest.approx(1.0) and u.p == pytest.approx(0.1) and u.null < 0.5
+
+
+def test_pools_and_crawls(spark, tmp_path):
+    df = spark.createDataFrame([(f"p{i}", "ab"[i % 2], f"d{i % 6}", f"text {i}", i % 3 == 0) for i in range(12)] + [("n", None, "d", "x", None)], "id string, v string, d string, t string, dup boolean")
+    pool = pools.adapted(df, F.col("v"), F.col("d"), F.col("t"))
+    assert pool.count() == 12 and pools.quota(pool, 2, "s").select("label", "doc_id").distinct().count() == 4
+    assert pools.conditions(df, {"all": F.lit(True), "plain": ~F.col("dup")}).groupBy("condition").count().count() == 2 and pools.without(df, "v", ["a"]).count() == 7
+    assert one(spark, pools.first_field(F.col("j"), "$.a", "$.b.c"), j='{"a": " ", "b": {"c": "x"}}') == "x"
+    assert one(spark, pools.lexicon_mask(F.col("t"), ["Norvale", "abc"]), t="in norvale abc") == "in §LEX abc" and one(spark, pools.place_mask(F.col("t"), ["Norvale"]), t="Norvale Section 4") == "§PLACE §SEC"
+    assert pools.shared_values(df.limit(3), df, "d").first().n == 3 and pools.on_common_keys("id", df.select("id", "v"), df.limit(2).select("id", "t")).count() == 2
+    page = spark.createDataFrame([("u", "Intro\nCodes:\nCivil Code\nCourts\nTrial court")], "u string, t string")
+    assert {(r.label, r.part) for r in pools.page_slices(page, "u", "t", ["Codes", "Courts"]).collect()} == {("codes", "Civil Code"), ("courts", "Trial court")}
+    links = spark.createDataFrame([("http://a.example/", "http://a.example/code/1", "Code"), ("http://a.example/", "http://b.example/code", "Code"), ("http://a.example/", "http://a.example/login", "Code")], "src string, dst string, anchor string")
+    assert related.crawl_links(links, "code", "login").count() == 1 and related.crawl_links(links, "code", "login", False).count() == 2
+    fetched = spark.createDataFrame([("http://a.example/code.pdf", "Code", "pdf", 9000), ("http://a.example/code2.pdf", "Code", "pdf", 10), ("http://a.example/c", "Code", "html", 3000)], "url string, anchor string, kind string, size int")
+    assert related.targets(fetched, "code", 8000, 2500).count() == 2
+    anchors = spark.createDataFrame([("p", i, f"/code/{i % 3}", "Code") for i in range(6)], "page string, pos int, href string, anchor string")
+    assert [r.pos for r in related.discovered(anchors, "page", "code", 2).orderBy("pos").collect()] == [0, 1]
+    records.write_array(df.select("id", "v"), str(tmp_path / "a"))
+    assert spark.read.option("multiLine", "true").json(str(tmp_path / "a")).count() == 13
+    import lzma
+
+    (tmp_path / "x.xz").write_bytes(lzma.compress(b'{"a": 1}\n{"a": 2}\n'))
+    assert records.read_xz_lines(spark, str(tmp_path / "x.xz"), "a int").agg(F.sum("a")).first()[0] == 3
+    sheet = spark.createDataFrame([(1, "A"), (2, None)], "i int, label string")
+    records.write_sheet(sheet, str(tmp_path / "s"), ["A"])
+    assert records.read_coded(spark, str(tmp_path / "s" / "sheet"), ["A"]).count() == 2
+    (tmp_path / "old1.json").write_text('[{"i": 1, "label": "B"}]')
+    assert {r.i: r.label for r in records.prior_labels(spark, str(tmp_path / "old*.json"), sheet.select("i")).collect()} == {1: "B", 2: None}
+    for _ in range(2):
+        records.save_point(sheet, str(tmp_path / "points"), m=2)
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 2
+    assert one(spark, pages.probe_score(F.col("h")), h="<p>civil complaint and bail</p>") == 3 and one(spark, pages.probe_score(F.col("h")), h="Just a moment... bail") == 0
+
+
 def test_records(spark, tmp_path):
     path = str(tmp_path / "a.jsonl")
     (tmp_path / "a.jsonl").write_text(json.dumps({"provision_id": "1", "text": "x"}) + "\nbroken\n" + json.dumps({"provision_id": "2", "xnation_dup": True}) + "\n")

@@ -95,7 +95,7 @@ _TECHNICAL = re.compile(r"(?i)\b(?:browser|java ?script|cookies?|scripts?|server
 
 # What meets in an error page or notice: words of the technique, failures, requests to the reader, and what only a server writes.
 _STRUCTURE = {
-    "technique": r"\b(?:java ?script|cookies|browsers?|servers?|webmaster|web ?site|site map|captcha|https?|urls?|cache|cdn|proxy|upstream|hostname|dns|ssl|firewall|gateway|database|stack trace|web ?page|log ?in page|home page)\b",
+    "technique": r"\b(?:java ?script|cookies|browsers?|(?<!process )servers?|webmaster|web ?site|site map|captcha|https?|urls?|cache|cdn|proxy|upstream|hostname|dns|ssl|firewall|gateway|database|stack trace|web ?page|log ?in page|home page)\b",
     "failure": r"\b(?:failed|fails|unable to|could not|cannot|can't|couldn't|did not|doesn't|not found|does not exist|no longer (?:exists|available|valid)|unavailable|expired|timed out|denied|forbidden|refused|rejected|blocked|disabled|switched off|turned off|not supported|not trusted|not loaded|moved|went wrong|offline|down for|broken|damaged|interrupted|hidden|nowhere|exceeded|out of date|error)\b",
     "request": r"(?:^|\bplease |[,;] then |\bor )(?:enable|turn (?:it |them )?on|switch (?:it |them )?on|allow|reload|refresh|retry|try (?:again|later|another)|log ?in|sign ?in|go back|return to the (?:home|start|previous)|click|check (?:the|that) (?:address|url|link)|check your|clear your|update your|upgrade|contact|search|press|wait \d|verify|disable your|proceed|use the site map)\b",
     "trace": rf"{_ADDRESS}|{_NUMBERED}|(?<![\w$§.,-])(?<!page )(?<!section )(?<!chapter )(?<!rule )(?<!title )[45]0\d\b(?! of\b)(?![-.]\d)|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{{7,}}\b|\b(?:error|ref(?:erence)?|incident|support|ray|request) (?:code|id|number)\W{{0,3}}[0-9a-f]*\d",
@@ -234,13 +234,17 @@ def _page(flat: str) -> str | None:
 
 def _structure(flat: str) -> str | None:
     """Whether two successive sentences, none of which commands, hold three of the four parts of a notice, a technical word among them."""
-    before: set[str] = set()
-    for sentence in _SENTENCE.split(flat):
-        here = set() if _COMMANDS.search(sentence) else {k for k, part in _PARTS.items() if part.search(sentence)}
-        both = here | before
+    if not _PARTS["technique"].search(flat):
+        return None
+    sentences = _SENTENCE.split(flat)
+    technical = [i for i, s in enumerate(sentences) if _PARTS["technique"].search(s)]
+    held: dict[int, set[str]] = {}
+    for i in {k for j in technical for k in (j - 1, j, j + 1) if 0 <= k < len(sentences)}:
+        held[i] = set() if _COMMANDS.search(sentences[i]) else {k for k, part in _PARTS.items() if part.search(sentences[i])}
+    for i, here in held.items():
+        both = here | held.get(i - 1, set())
         if "technique" in both and len(both) >= 3 and ("trace" in both or "request" in here):
             return "error_page"
-        before = here
     return None
 
 

@@ -9,15 +9,16 @@ from tesselith.plans.lineage import materialise
 
 
 def shared_pairs(df: DataFrame, key: str, grp: str, shingles: str, sketch: int = 60, least: int = 2, most: int = 40, at_least: float = 0.0) -> DataFrame:
-    """(a, b, j): pairs of different groups that share one of their ``sketch`` smallest shingles, with their Jaccard value.
+    """(a, b, j): pairs of different groups that share one of their ``sketch`` smallest shingles (16 hex digits each), with their Jaccard value.
 
     Shingles that fewer than ``least`` or more than ``most`` sketches hold join nothing: that is the operator's
     definition, and it bounds the pairs that one shingle can make. Empty sets make no pair. Pairs under ``at_least``
     are left out; most of them before their sets are fetched: of two sketches take the one that ends earlier; what its
     record shares is among the postings counted or among the shingles that it has besides.
     """
-    sets = materialise(df.select(F.col(key).alias("id"), F.col(grp).alias("grp"), F.col(shingles).alias("s")).where(F.size("s") > 0), "shingles")
-    posts = sets.select("id", "grp", F.explode(F.slice(F.array_sort("s"), 1, sketch)).alias("g"))
+    # The filter reads what is written: pushed below, it would make all shingles twice.
+    sets = materialise(df.select(F.col(key).alias("id"), F.col(grp).alias("grp"), F.col(shingles).alias("s")), "shingles").where(F.size("s") > 0)
+    posts = sets.select("id", "grp", F.size("s").alias("n"), F.explode(F.slice(F.array_sort("s"), 1, sketch)).alias("g")).withColumn("g", F.conv("g", 16, -10).cast("bigint"))  # the same 64 bits as a number
     useful = posts.groupBy("g").count().where(F.col("count").between(least, most)).select("g")
     posts = materialise(posts.join(useful, "g", "left_semi"), "postings")
     ends = sets.select("id", "grp", F.size("s").alias("n"), F.element_at(F.slice(F.array_sort("s"), 1, sketch), -1).alias("last"))
@@ -25,9 +26,12 @@ def shared_pairs(df: DataFrame, key: str, grp: str, shingles: str, sketch: int =
     facts = materialise(facts, "facts")
     of = lambda x: facts.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in facts.columns])
     a, b = posts.alias("a"), posts.alias("b")
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.grp") != F.col("b.grp"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("c"))
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.grp") != F.col("b.grp")) & (F.least("a.n", "b.n") >= at_least * F.greatest("a.n", "b.n") - 1e-9)).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("c"))
     bound = F.col("c") + F.when(F.col("last_a") < F.col("last_b"), F.col("rest_a")).when(F.col("last_b") < F.col("last_a"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
     near = met.join(of("a"), "a").join(of("b"), "b").where(bound >= at_least / (1 + at_least) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b", "grp_a", "grp_b")
+    near = materialise(near, "near")
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    sets = sets.join(ids, "id", "left_semi")  # only sets of candidates are shuffled
     x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = near.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     j = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))

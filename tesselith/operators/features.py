@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselith.functions.text import blank
+from tesselith.plans.lineage import materialise
 
 
 def term_counts(df: DataFrame, by: str, text: str, pattern: str) -> DataFrame:
@@ -35,9 +36,9 @@ def grams(df: DataFrame, key: str, text: str, without: list[str] | None = None)
 
 def tfidf(df: DataFrame, key: str, text: str, min_df: int = 2, n_docs: int | None = None) -> DataFrame:
     """(key, term, weight, norm): sublinear tf times smoothed idf, scaled to length 1; ``norm`` is the length before. Texts without terms have no row."""
-    c = grams(df, key, text)
+    c = materialise(grams(df, key, text), "grams")
     n = df.count() if n_docs is None else n_docs
     k = c.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     w = c.join(k, "term").select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"), "norm")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a text's terms; one exchange instead of an aggregate and a join
+    return w.withColumn("norm", norm).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"), "norm")

@@ -21,9 +21,10 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)")
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    got = A.drain(A.window_counts(A.event_stream(spark, d), "ts", "1 hour", "10 minutes", ["event_type"], "value"), "complete")
+    """Counts of the hours that the watermark has closed; their state is dropped."""
+    got = A.drain(A.window_counts(A.event_stream(spark, d), "ts", "1 hour", "10 minutes", ["event_type"], "value"))
     return got.withColumn("total", F.round("total", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -39,6 +40,15 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark has closed, from the stream."""
+    got = A.drain(A.sessions(A.event_stream(spark, d), "ts", "30 minutes", "10 minutes", "user_id"))
+    return got.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def line_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(

@@ -1,7 +1,9 @@
 """Functions on hand-written rows, properties of the operators, sources and streams."""
 
 import json
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,17 @@ def test_exact_tests(spark):
     assert resample.mcnemar(rows, "t", "a", "b").first().p == pytest.approx(14 / 64)
 
 
+def test_fisher_with_large_counts(spark):
+    lc = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    a, b, c, d = 60_000, 50_000, 59_500, 50_500
+    lp = [lc(a + b, x) + lc(c + d, a + c - x) - lc(a + b + c + d, a + c) for x in range(9_500, 110_001)]
+    want = sum(math.exp(x) for x in lp if x <= lp[a - 9_500] + 1e-7)
+    t = spark.createDataFrame([(a, b, c, d), (3_000_000_000, 1, 1, 3)], "a bigint, b bigint, c bigint, d bigint")
+    began = time.time()
+    got = {r.a: r.p for r in resample.fisher(t).collect()}
+    assert got[a] == pytest.approx(want, abs=1e-7) and got[3_000_000_000] < 1e-12 and time.time() - began < 60
+
+
 def _rows(spark, n=200):
     r = random.Random(3)
     return spark.createDataFrame([(f"p{i}", f"g{i % 5}", f"d{i % 23}", r.choice("abc")) for i in range(n)], "id string, grp string, doc string, lab string")

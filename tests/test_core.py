@@ -1,9 +1,11 @@
 """Functions on hand-written rows, properties of the operators, sources and streams."""
 
+import itertools
 import json
 import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +93,34 @@ def test_shared_pairs(spark):
     assert diffusion.shared_pairs(many, "id", "grp", "s").count() == 0  # more than 40 postings
 
 
+def test_shared_pairs_equal_brute_force_and_store_little(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [[r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(r.choice((8, 30, 90, 200)))] for _ in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(r.choice(texts))
+        for _ in range(r.choice((0, 0, 1, 3))):
+            w[r.randrange(len(w))] = "new" + str(r.randrange(50))
+        rows.append((f"r{i:03}", f"g{i % 7}", " ".join(w)))
+    df = spark.createDataFrame(rows, "id string, grp string, t string").select("id", "grp", T.shingles(F.col("t"), 3).alias("s"))
+    written = []
+    keep = diffusion.materialise
+    monkeypatch.setattr(diffusion, "materialise", lambda d, name="step", **k: written.append((name, d.columns)) or keep(d, name, **k))
+    monkeypatch.setattr(diffusion, "PASS_ROWS", 3000)  # several passes
+    got = {(x.a, x.b): (x.grp_a, x.grp_b, round(x.j, 9)) for x in diffusion.shared_pairs(df, "id", "grp", "s", at_least=0.7).collect()}
+    sets = {x.id: (x.grp, set(x.s)) for x in df.collect()}
+    first = {i: sorted(s)[:60] for i, (_, s) in sets.items()}
+    held = Counter(g for s in first.values() for g in s)
+    useful = {i: {g for g in s if 2 <= held[g] <= 40} for i, s in first.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        (ga, sa), (gb, sb) = sets[a], sets[b]
+        if ga != gb and useful[a] & useful[b] and (j := len(sa & sb) / len(sa | sb)) >= 0.7:
+            want[a, b] = (ga, gb, round(j, 9))
+    assert got == want and len(want) > 50
+    assert [n for n, c in written if "s" in c] == ["sets"]  # whole sets of candidates only
+
+
 def test_measures_with_known_answers(spark):
     df = spark.createDataFrame([("d1", "a"), ("d1", "a"), ("d2", "b"), ("d2", "b")], "g string, l string")
     assert measures.theil_u(df, "g", "l").first().u == pytest.approx(1.0)

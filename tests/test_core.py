@@ -121,6 +121,16 @@ def test_shared_pairs_equal_brute_force_and_store_little(spark, monkeypatch):
     assert [n for n, c in written if "s" in c] == ["sets"]  # whole sets of candidates only
 
 
+def test_sketches_of_words_equal_those_of_shingles(spark):
+    texts = ["", None, " a ", "one two  three four five six seven eight nine", "A b c d e f g h i j k l é\n" * 9, "straße Ünd\t so weiter " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.lit("g").alias("grp"), T.shingles(F.col("t")).alias("s"), T.squash(F.lower(T.blank(F.col("t")))).alias("words"))
+    made = []
+    for c, k in (("s", None), ("words", 9)):
+        table = df.select("id", "grp", c).toArrow()
+        made.append([r for b in diffusion._sketches(60, k, table.combine_chunks().to_batches()) for r in b.to_pylist()])
+    assert made[0] == made[1] and [r["n"] for r in made[0]][:4] == [1, 1, 1, 1]
+
+
 def test_measures_with_known_answers(spark):
     df = spark.createDataFrame([("d1", "a"), ("d1", "a"), ("d2", "b"), ("d2", "b")], "g string, l string")
     assert measures.theil_u(df, "g", "l").first().u == pytest.approx(1.0)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
-from tesselith.operators import annotation, diffusion, measures, models, passages, pools, ranks, related, resample, segments, splits
+from tesselith.operators import annotation, diffusion, linear, measures, models, passages, pools, ranks, related, resample, segments, splits
 from tesselith.sources import pages, records
 from tesselith.streaming import arrivals
 
@@ -437,3 +437,21 @@ def test_probe_fits_all_models_in_shared_passes(spark):
     assert min(x.macro_f1 for x in models.probe(df, "grp", "grp", "doc_id", "provision_id").collect()) > 0.6
     spark.range(1).count()
     assert max(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - first < 200  # eight fits one by one take several hundred jobs
+
+
+def test_documents_of_a_group_are_told_in_one_task(spark):
+    rows = [(f"{g}{d}{i}", g, f"{g}{d}", f"the clerk of hall{d} keeps file{i % 4} for the court", i % 5) for g in ("a'b", "c|d") for d in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "provision_id string, grp string, doc_id string, text string, fold int")
+    got = linear.within(df, "grp", "doc_id", "fold", 5, "provision_id", "text", 4.0, 15, models.FEATURES)
+    assert got.count() == 120 and got.where("t = p").count() == 120 and got.select("grp").distinct().count() == 2
+
+
+def test_parts_may_have_labels_and_models_of_their_own(spark):
+    df = _marked(spark).withColumn("other", F.concat(F.lit("o"), F.col("doc_id").substr(-1, 1))).withColumn("fold", F.pmod(F.xxhash64("provision_id"), F.lit(2)))
+    got = models.evaluate(df, {"g": ("fold <> 0", "fold = 0"), "o": ("fold <> 0", "fold = 0", "other")}, "grp", "provision_id", ("logistic", "svm"))
+    right = {(r.part, r.model): r.x for r in got.groupBy("part", "model").agg(F.avg((F.col("t") == F.col("p")).cast("int")).alias("x")).collect()}
+    assert min(right["g", "logistic"], right["g", "svm"]) > 0.7 and max(right["o", "logistic"], right["o", "svm"]) < 0.5
+    v = models.vectors(df.withColumn("fit", F.col("fold") != 0), "fit", models.hashed(df, "provision_id", "text"))
+    one = models.fit_predict(v.where("fit"), v.where("not fit"), "grp", "provision_id").withColumnRenamed("p", "q")
+    both = got.where("part = 'g' and model = 'logistic'").join(one, "provision_id")
+    assert both.count() == df.where("fold = 0").count() and both.where("p <> q").count() <= 2  # the same model as Spark ML's, fitted alone

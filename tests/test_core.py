@@ -455,3 +455,13 @@ def test_parts_may_have_labels_and_models_of_their_own(spark):
     one = models.fit_predict(v.where("fit"), v.where("not fit"), "grp", "provision_id").withColumnRenamed("p", "q")
     both = got.where("part = 'g' and model = 'logistic'").join(one, "provision_id")
     assert both.count() == df.where("fold = 0").count() and both.where("p <> q").count() <= 2  # the same model as Spark ML's, fitted alone
+
+
+def test_partial_sums_are_added_by_executors(spark, monkeypatch):
+    df = _marked(spark, 2, 24).withColumn("fold", F.pmod(F.xxhash64("provision_id"), F.lit(2)))
+    got = []
+    for most in (16, 0):
+        monkeypatch.setattr(linear, "DIRECT", most)
+        rows = models.evaluate(df, {"g": ("fold <> 0", "fold = 0")}, "grp", "provision_id", iterations=4)
+        got.append({(r.provision_id, r.p) for r in rows.collect()})
+    assert got[0] == got[1] and got[0]

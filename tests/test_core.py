@@ -7,11 +7,13 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
 from tesselith.operators import annotation, diffusion, linear, measures, models, passages, pools, ranks, related, resample, segments, splits
+from tesselith.plans import q_models
 from tesselith.sources import pages, records
 from tesselith.streaming import arrivals
 
@@ -465,3 +467,30 @@ def test_partial_sums_are_added_by_executors(spark, monkeypatch):
         rows = models.evaluate(df, {"g": ("fold <> 0", "fold = 0")}, "grp", "provision_id", iterations=4)
         got.append({(r.provision_id, r.p) for r in rows.collect()})
     assert got[0] == got[1] and got[0]
+
+
+def test_products_with_counts_equal_dense_ones():
+    r = np.random.default_rng(5)
+    x = np.where(r.random((300, 900)) < r.random(900) ** 3, r.integers(1, 400, (300, 900)), 0)
+    x[7] = x[299] = x[:, 11] = 0
+    ptr, idx = np.concatenate([[0], np.cumsum((x > 0).sum(axis=1))]).astype(np.int32), np.nonzero(x)[1].astype(np.int32)
+    assert (linear.unpacked(ptr, *linear.packed(ptr, idx)) == idx).all() and len(linear.packed(ptr, idx)[0]) == len(idx)
+    rows = linear.Rows(ptr, idx, x[x > 0], np.argsort(np.argsort(-(x > 0).sum(axis=0), kind="stable")).astype(np.int32))
+    full = np.zeros((300, 900))
+    full[:, np.argsort(np.argsort(-(x > 0).sum(axis=0), kind="stable"))] = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0)
+    for wide in (1, 7):
+        v, w, into = r.normal(size=(900, wide)).astype(np.float32), r.normal(size=(300, wide)).astype(np.float32), np.zeros((900, wide), np.float32)
+        rows.back(w, into)
+        assert np.abs(rows.times(v) - full @ v).max() < 2e-2 and np.abs(rows.times(v, True) - full**2 @ v).max() < 5e-2 and np.abs(into - full.T @ w).max() < 2e-2
+    assert rows.dense.shape[1] < 900 and rows.by_row.at.nbytes < 8 * 2 * len(idx) + 8 * 16 * 300  # lists hold what is there
+
+
+def test_probes_move_texts_once(spark):
+    narrow = q_models._narrow(spark, "/root/testdata/sf0.001", "silver")
+    assert "text" not in narrow.columns and narrow.count() > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = q_models._read(spark, "/root/testdata/sf0.001").join(narrow, "provision_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange" in line and "hashpartitioning(provision_id" in line for line in plan.splitlines()) == 2  # one for each side

@@ -494,3 +494,9 @@ def test_probes_move_texts_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum("Exchange" in line and "hashpartitioning(provision_id" in line for line in plan.splitlines()) == 2  # one for each side
+
+
+def test_a_model_of_many_classes_holds_no_wide_blocks(spark):
+    ptr, idx = np.arange(0, 3 * 4096 + 1, 3), np.tile(np.arange(3), 4096)
+    rows = linear.Rows(ptr, idx, np.ones(len(idx), np.uint8), np.arange(5000, dtype=np.int32))
+    assert rows.dense.nbytes <= 4096 * 512 * 4  # the rest are lists

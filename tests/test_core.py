@@ -500,3 +500,12 @@ def test_a_model_of_many_classes_holds_no_wide_blocks(spark):
     ptr, idx = np.arange(0, 3 * 4096 + 1, 3), np.tile(np.arange(3), 4096)
     rows = linear.Rows(ptr, idx, np.ones(len(idx), np.uint8), np.arange(5000, dtype=np.int32))
     assert rows.dense.nbytes <= 4096 * 512 * 4  # the rest are lists
+
+
+def test_ladder_sets_do_not_depend_on_how_many_are_dealt_at_once(spark):
+    rows = q_models._narrow(spark, "/root/testdata/sf0.001")
+    groups = sorted(r.grp for r in rows.select("grp").where("grp is not null").distinct().collect())[:4]
+    got = [{(r[0], *(tuple(sorted(x)) for x in r[1:])) for r in q_models._sets(rows, groups, n).collect()} for n in (3, 4)]
+    assert got[0] == got[1] and len(got[0]) == rows.count()
+    one = splits.regimes(rows.select("provision_id", "grp", "doc_id"), "grp", "doc_id", "provision_id", 0.3, "ladder").where(F.col("held") == groups[3])
+    assert {r.provision_id for r in one.where("train_doc").collect()} == {r[0] for r in got[0] if 3 in r[3]}

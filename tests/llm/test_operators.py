@@ -1,13 +1,16 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing extra columns; results against brute force."""
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from tesselith.llm import grouping, mixing, neardup, phrases, proportions, related_splits, residue, scan_noise, split_overlap, subjects, tokenizer
+from tesselith.plans import lineage
 
 WORDS = "court judge clerk order notice bond fine council member hearing record appeal motion file seal village river school water road house tax vote game".split()
 
@@ -431,6 +434,24 @@ def test_buckets_fill_partitions_evenly(spark):
     assert [at[int(a)] == at[int(b)] == i for i, (a, b) in enumerate(names)] == [True] * 7
 
 
+def test_lookups_and_shuffles_go_before_groups_are_opened(spark, monkeypatch):
+    folder, opened = lineage.shared_dir(spark).removeprefix("file://"), neardup.open_groups
+    blocks = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.name().startswith("shuffle")}
+    tables, shuffles, held = set(os.listdir(folder)) if os.path.isdir(folder) else set(), blocks(), []
+
+    def spied(*args):
+        end = time.time() + 8
+        while (left := blocks() - shuffles) and time.time() < end:  # files are deleted in the background
+            time.sleep(0.2)
+        held.append((sorted(x.partition("-")[0] for x in set(os.listdir(folder)) - tables), left))
+        return opened(*args)
+
+    monkeypatch.setattr(neardup, "open_groups", spied)
+    rows = [(f"k{i:03d}", t) for i, t in enumerate(some_texts(60, 4))]
+    neardup.similar(spark.createDataFrame(rows, "provision_id string, text string"))
+    assert held == [(["classes", "members", "wanted"], set())]
+
+
 def test_pairs_of_nothing(spark):
     links, members = neardup.similar(spark.createDataFrame([("a", "too short")], "provision_id string, text string"))
     assert neardup.pairs(links, members).count() == 0

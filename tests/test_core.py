@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tesselith.functions import text as T
@@ -448,6 +449,42 @@ def test_documents_of_a_group_are_told_in_one_task(spark):
     assert got.count() == 120 and got.where("t = p").count() == 120 and got.select("grp").distinct().count() == 2
 
 
+def test_a_task_opens_its_training_rows_once_where_they_fit(spark, monkeypatch):
+    rows = [(f"{d}{i}", "g", f"d{d}", f"the clerk of hall{d} keeps file{i % 4} for the court", i % 5) for d in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "provision_id string, grp string, doc_id string, text string, fold int")
+    sizes, original, fitted = [], linear.Rows, []
+
+    def counting(ptr, *rest):
+        sizes.append(len(ptr) - 1)
+        return original(ptr, *rest)
+
+    def here(self, f, schema):  # the task's own function, where it can be watched
+        fitted.append(f)
+        return applied(self, f, schema)
+
+    applied = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", here)
+    linear.within(df, "grp", "doc_id", "fold", 5, "provision_id", "text", 4.0, 15, models.FEATURES)
+    task = df.withColumn("c", linear.codes("text", models.FEATURES)).selectExpr("grp g", "provision_id key", "doc_id label", "fold", "c", "0 f").toArrow()
+    monkeypatch.setattr(linear, "Rows", counting)
+    monkeypatch.setattr(linear, "BLOCK", 16)
+    got = []
+    for room in (1 << 25, 700, 0):
+        monkeypatch.setattr(linear, "KEPT", room)
+        sizes.clear()
+        got.append((fitted[0](task).sort_by("key").to_pydict(), len(sizes)))
+    assert got[0][0] == got[1][0] == got[2][0] and got[0][0]["t"] == got[0][0]["p"] and len(got[0][0]["key"]) == 12
+    assert got[0][1] == 3 + 3 + 1 < got[1][1] < got[2][1]  # blocks counted, trained and told; no training pass opens a test row
+
+
+def test_documents_are_told_without_writing_their_texts(spark, monkeypatch):
+    written, original = {}, linear.materialise
+    for where in (q_models, linear):
+        monkeypatch.setattr(where, "materialise", lambda df, name="step", tidy=False: written.update({name: (set(df.columns), tidy)}) or original(df, name, tidy))
+    q_models.doc_probe(spark, "/root/testdata/sf0.001")
+    assert written and not any("text" in columns or not tidy for columns, tidy in written.values())
+
+
 def test_parts_may_have_labels_and_models_of_their_own(spark):
     df = _marked(spark).withColumn("other", F.concat(F.lit("o"), F.col("doc_id").substr(-1, 1))).withColumn("fold", F.pmod(F.xxhash64("provision_id"), F.lit(2)))
     got = models.evaluate(df, {"g": ("fold <> 0", "fold = 0"), "o": ("fold <> 0", "fold = 0", "other")}, "grp", "provision_id", ("logistic", "svm"))

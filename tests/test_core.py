@@ -124,6 +124,29 @@ def test_shared_pairs_equal_brute_force_and_store_little(spark, monkeypatch):
     assert [n for n, c in written if "s" in c] == ["sets"]  # whole sets of candidates only
 
 
+def test_near_elsewhere_equals_brute_force_on_hot_shingles_and_copies(spark, monkeypatch):
+    r = random.Random(9)
+    stock = [" ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(12)) for _ in range(6)]
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(f"b{i:03}", f"g{i % 5}", base) for i in range(60)]  # more than 40 hold each shingle
+    rows += [(f"c{i:03}", "g1", "a text that stands in one group only and is copied there again") for i in range(50)]
+    rows += [(f"n{i}", None, base + f" {i}") for i in range(3)] + [("e1", "g1", ""), ("e2", "g2", ""), ("s1", "g1", "short"), ("s2", "g3", "other"), ("z", "g1", base + " x")]
+    for i in range(150):
+        w = " ".join(r.sample(stock, 3) + [f"w{r.randrange(40)}" for _ in range(r.choice((0, 1, 9, 30)))]).split()
+        rows += [(f"t{i:03}{j}", f"g{r.randrange(4)}", " ".join(w[: len(w) - r.randrange(6)])) for j in range(2)]
+    df = spark.createDataFrame(rows, "id string, grp string, words string")
+    sets = {x.id: (x.grp, set(x.s)) for x in df.select("id", "grp", T.shingles(F.col("words")).alias("s")).collect()}
+    want = {a for (a, (g, s)), (h, o) in itertools.product(sets.items(), sets.values()) if g and h and g != h and len(s & o) / len(s | o) >= 0.7}
+    monkeypatch.setattr(diffusion, "PASS_ROWS", 300)  # several passes
+    for log in (20, 6):  # cells that many shingles share change nothing
+        monkeypatch.setattr(diffusion, "LEAST_CELLS", log)
+        monkeypatch.setattr(diffusion, "MOST_CELLS", log)
+        hits = diffusion.near_elsewhere(df, "id", "grp", "words", 0.7)
+        assert hits.count() == hits.distinct().count()
+        got = {x.id for x in df.where("grp is not null").withColumn("text", F.md5("words")).join(hits, "text", "left_semi").collect()}
+        assert got == want and {"b000", "z", "e1"} <= got and not got & {"c000", "n0", "s1"} and len(got) < len(rows) - 60
+
+
 def test_sketches_of_words_equal_those_of_shingles(spark):
     texts = ["", None, " a ", "one two  three four five six seven eight nine", "A b c d e f g h i j k l é\n" * 9, "straße Ünd\t so weiter " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", F.lit("g").alias("grp"), T.shingles(F.col("t")).alias("s"), T.squash(F.lower(T.blank(F.col("t")))).alias("words"))

@@ -569,3 +569,31 @@ def test_ladder_sets_do_not_depend_on_how_many_are_dealt_at_once(spark):
     assert got[0] == got[1] and len(got[0]) == rows.count()
     one = splits.regimes(rows.select("provision_id", "grp", "doc_id"), "grp", "doc_id", "provision_id", 0.3, "ladder").where(F.col("held") == groups[3])
     assert {r.provision_id for r in one.where("train_doc").collect()} == {r[0] for r in got[0] if 3 in r[3]}
+
+
+def test_the_ladder_of_models_holds_every_group_out(spark, monkeypatch):
+    asked = {}
+
+    def told(df, parts, label, key, model, level, *rest, **more):
+        asked[level] = (set(parts), tuple(model))
+        return spark.createDataFrame([("x", "A", "A", p, m) for p in parts for m in model], "provision_id string, t string, p string, part string, model string")
+
+    monkeypatch.setattr(models, "evaluate", told)
+    got = q_models.split_ladder_models(spark, "/root/testdata/sf0.001").collect()
+    groups = q_models._narrow(spark, "/root/testdata/sf0.001", "silver").where("silver is not null and grp is not null").select("grp").distinct().count()
+    assert groups > 1 and asked == {level: ({f"{r}|{k}" for r in ("random", "doc", "group") for k in range(groups)}, ("logistic", "svm")) for level in range(4)}
+    assert {(r.regime, r.model, r.level, r.n) for r in got} == {(r, m, x, groups) for r in ("random", "doc", "group") for m in ("logistic", "svm") for x in range(4)}
+
+
+def test_parts_with_terms_of_their_own_do_not_depend_on_how_many_are_stored_at_once(spark, monkeypatch):
+    df = _marked(spark, 2, 24).withColumn("fold", F.pmod(F.xxhash64("provision_id"), F.lit(3)))
+    plan = {str(f): (f"fold <> {f} and fold <> 9", f"fold = {f}") for f in range(3)}
+    monkeypatch.setattr(models, "TERMS", 2)
+    monkeypatch.setattr(models.best_terms, "__defaults__", (2,))
+    stored, original, got = [], linear.store, []
+    monkeypatch.setattr(linear, "store", lambda *a: stored.append(len(a[-1])) or original(*a))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(models, "STORED", most)
+        monkeypatch.setattr(models, "STORES", 1)
+        got.append({(r.provision_id, r.part, r.model): (r.t, r.p) for r in models.evaluate(df, plan, "grp", "provision_id", ("logistic", "svm"), 3, "grp", iterations=6).collect()})
+    assert stored == [3, 1, 1, 1] and got[0] == got[1] and len(got[0]) == 2 * df.count()

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -597,3 +598,26 @@ def test_parts_with_terms_of_their_own_do_not_depend_on_how_many_are_stored_at_o
         monkeypatch.setattr(models, "STORES", 1)
         got.append({(r.provision_id, r.part, r.model): (r.t, r.p) for r in models.evaluate(df, plan, "grp", "provision_id", ("logistic", "svm"), 3, "grp", iterations=6).collect()})
     assert stored == [3, 1, 1, 1] and got[0] == got[1] and len(got[0]) == 2 * df.count()
+
+
+def test_a_task_of_many_classes_holds_no_columns_in_memory(spark, monkeypatch):
+    r, fitted = random.Random(3), []
+    rows = [(f"{d:03}{i}", "g", f"d{d:03}", " ".join(f"w{r.randrange(900)}" for _ in range(9)) + f" hall{d}", i % 4) for d in range(250) for i in range(6)]
+    df = spark.createDataFrame(rows, "provision_id string, grp string, doc_id string, text string, fold int")
+    applied = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: fitted.append(f) or applied(self, f, schema))
+    linear.within(df.limit(40), "grp", "doc_id", "fold", 4, "provision_id", "text", 4.0, 4, models.FEATURES)
+    task = df.withColumn("c", linear.codes("text", models.FEATURES)).selectExpr("grp g", "provision_id key", "doc_id label", "fold", "c", "0 f").toArrow()
+    got = []
+    for most in (1 << 22, 1 << 14):
+        monkeypatch.setattr(linear, "WIDE", most)
+        monkeypatch.setattr(linear, "PIECE", most)
+        monkeypatch.setattr(linear, "DENSE", 64)
+        monkeypatch.setattr(linear, "KEPT", 0)
+        monkeypatch.setattr(linear, "GATHERED", 1 << 14)
+        tracemalloc.start()
+        got.append((fitted[0](task).sort_by("key").to_pydict(), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    said = [x["p"] for x, _ in got]
+    assert len(said[0]) == 500 and sum(a == b for a, b in zip(*said)) >= 495  # the sums are taken in another order
+    assert got[1][1] < got[0][1] / 3
